@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, sharding
+from . import line_dedup, minhash, mixing, sharding, substring_dedup
 from .common import table
 
 
@@ -32,7 +32,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("takes")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_shard_by_bytes, op3_mix_sources)}
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op7_minhash_near_dedup, op9_substring_dedup)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
