@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, sharding, substring_dedup
-from .common import table
+import uuid
+
+from . import embedding_dedup, line_dedup, minhash, mixing, sharding, substring_dedup, topk, warc
+from .common import shared_dir, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +43,32 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op7_minhash_near_dedup, op9_substring_dedup)}
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, size and type come from the archives; a response's payload is hashed again as read."""
+    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    full = warc.read_warc(spark, path).where("record_type = 'response'").select(
+        number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"),
+    )
+    short = warc.read_warc(spark, path, payload=False).where("record_type = 'revisit'").select(
+        number("record_id").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+        "record_type", number("refers_to").alias("refers_to"),
+    )
+    return full.unionByName(short)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
@@ -81,4 +108,24 @@ m AS (SELECT *, coalesce(sum(words) OVER o, 0) + words / 2.0::DOUBLE AS middle,
   WINDOW o AS (PARTITION BY place ORDER BY ('0x' || substr(md5('7:order:' || place || ':' || block), 1, 15))::BIGINT, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 k AS (SELECT place, block, least(3, whole + CASE WHEN middle <= target - whole * source_size THEN 1 ELSE 0 END) AS copies FROM m)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM e JOIN k USING (place, block)""",
+    "op6_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a),
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = id LEFT JOIN n ON vec_id = a""",
+    "op8_exact_top_k": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 20""",
+    "op10_warc_round_trip": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to FROM f""",
 }
