@@ -5,9 +5,10 @@ bring documents together; the union sketch of two documents estimates their Jacc
 reach the threshold; what is left is confirmed on the full shingle sets.
 
 Documents with equal sets are one vertex from the start, so copies never meet each other in a list. In each list the
-document with the smallest id is compared with all others first; lists whose documents then still lie in several
-components are compared across components, in blocks inside tasks. So links that matter for the components are all
-confirmed or refuted, while a list of m near copies costs about m comparisons, not m squared.
+document with the smallest id is confirmed against all others first. Lists whose documents then still lie in several
+components are compared across components, in blocks inside tasks: sketches first, in the first list that a pair
+shares, then full sets of the documents whose sketches leave hope. Tasks hand on documents and the links that join
+components, never pairs, so what is shuffled grows with the lists' lengths and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql.types import StructField, StructType
 
 from .common import pin, stash
 from .components import connected_components
+from .grouped import groups, matrix
 from .wordhash import BASES, Powers, Runs, WordHashes
 
 #: Retained hashes of a document, and how many neighbouring pairs of them are looked up. At a similarity of 0.85 the
 #: chance that none of 24 neighbouring pairs is shared is below 1e-8; sets of up to 25 shingles are never missed.
 SKETCH, LISTS = 64, 24
-#: Documents of an inverted list that are compared at once.
-BLOCK = 256
+#: Documents of an inverted list that are compared at once, by sketches and by texts.
+BLOCK, TEXTS = 1024, 256
 
 
 def shingle_set(text: str | None, width: int, words: WordHashes, powers: Powers) -> np.ndarray:
@@ -92,83 +94,112 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return rows.mapInArrow(run, schema)
 
 
-def _estimates(x: np.ndarray, full_x: bool, many: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union-sketch estimates of one sketch against padded sketches, and how many hashes each rests on.
+def _estimates(x: np.ndarray, x_size: int, many: np.ndarray, sizes: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union-sketch estimates of one padded sketch against many; how many hashes each rests on; the first shared lead.
 
-    Up to the smaller of the two largest retained hashes, both sets are known in full.
+    Up to the smaller of the two largest retained hashes, both sets are known in full. A lead is the smaller of two
+    neighbouring retained values that both sketches list; the largest integer where there is none.
     """
-    top = np.iinfo(np.int64).max
-    reach = np.minimum(x[-1] if full_x else top - 1, np.where(full, many[:, -1], top - 1))
+    k, top = many.shape[1], np.iinfo(np.int64).max
+    reach = np.minimum(x[-1] if x_size > k else top - 1, np.where(sizes > k, many[:, -1], top - 1))
     seen = many <= reach[:, None]
-    at = np.minimum(np.searchsorted(x, many), len(x) - 1)
-    both = ((x[at] == many) & seen).sum(1)
+    at = np.minimum(np.searchsorted(x, many), k - 1)
+    same = (x[at] == many) & (many < top)
+    both = (same & seen).sum(1)
     union = np.searchsorted(x, reach, side="right") + seen.sum(1) - both
-    return both / np.maximum(union, 1), union
+    next_to = same[:, :-1] & same[:, 1:] & (at[:, 1:] == at[:, :-1] + 1) & (at[:, :-1] < lists)
+    next_to[:, lists:] = False
+    lead = np.where(next_to.any(1), many[np.arange(len(many)), next_to.argmax(1)], top)
+    return both / np.maximum(union, 1), union, lead
 
 
-def _across(lists: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int, best: int | None, k: int) -> DataFrame:
-    """Pairs (a, b) of one list but different components whose estimate allows the threshold.
+def _hopeful(est: np.ndarray, on: np.ndarray, percent: int) -> np.ndarray:
+    """Whether an estimate lies at most 4.5 standard errors below the threshold; exact where it rests on whole sets."""
+    p = percent / 100
+    return est >= p - 4.5 * np.sqrt(p * (1 - p) / np.maximum(on, 1))
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of lists that lie in several components, dealt so that any two rows of a list meet in one group (key, i, j)."""
+    mixed = rows.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.ceil(F.count(F.lit(1)) / block).alias("blocks")).where("lo < hi")
+    own = rows.join(mixed.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
-    best: for each document, list block and foreign component only so many, of the highest estimates; None: all.
-    """
-    labelled = lists.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("lo < hi")
-    own = labelled.join(mixed.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    rows = (
-        own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(sketches.select("id", "sketch"), "id")
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n_shingles", "component_id", "sketch")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    )
-    kind = lists.schema["id"].dataType
-    schema = StructType([StructField("a", kind), StructField("b", kind)])
 
-    def compare(group: list[tuple]) -> list[tuple]:
-        ids, sizes, comps = [r[4] for r in group], np.array([r[5] for r in group]), np.array([r[6] for r in group])
-        own_block, (i, j) = np.array([r[3] for r in group]), group[0][1:3]
-        table = np.full((len(group), k), np.iinfo(np.int64).max, np.int64)
-        for row, r in zip(table, group, strict=True):
-            row[: len(r[7])] = r[7]
-        full, out = np.array([len(r[7]) == k for r in group]), []
-        for x in range(len(group)):
-            near = (comps != comps[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
-            near &= (own_block != own_block[x]) if i != j else True
-            if best is None:
-                near[: x + 1] = False
-            at = np.flatnonzero(near)
-            if not len(at):
-                continue
-            part = table[x][: len(group[x][7])]
-            est, on = _estimates(part, full[x], table[at], full[at])
-            p = percent / 100
-            good = est >= p - 4.5 * np.sqrt(p * (1 - p) / np.maximum(on, 1))
-            at, est = at[good], est[good]
-            if best is not None and len(at):
-                order = np.lexsort((-est, comps[at]))
-                first = np.r_[True, comps[at][order][1:] != comps[at][order][:-1]]
-                rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-                at = at[order[rank < best]]
-            out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in at]
-        return out
+def _compare_lists(listed: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int, k: int, lists: int) -> DataFrame:
+    """(key, id) of documents that may link, by their sketches, with one of the same list but another component.
+
+    A pair is looked at only in the first list that it shares.
+    """
+    padded = sketches.select("id", F.concat("sketch", F.array_repeat(F.lit(np.iinfo(np.int64).max), k - F.size("sketch"))).alias("sketch"))
+    labelled = listed.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    in_mixed = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("key")
+    rows = _in_blocks(labelled.join(in_mixed, "key", "left_semi").join(padded, "id"), BLOCK)
+    rows = rows.select("key", "i", "j", "own", "lead", "id", "n_shingles", "component_id", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    schema = StructType([*StructType.fromDDL("key long").fields, listed.schema["id"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        kinds = None
-        for batch in batches:
-            kinds, out = batch.column(4).type, []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    out += compare(group)
-                    group = []
-                group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], kinds) for n in (0, 1)], names=["a", "b"])
-        if group:
-            out = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], kinds) for n in (0, 1)], names=["a", "b"])
+        for g in groups(batches, 3):
+            key, i, j = (g.column(c)[0].as_py() for c in range(3))
+            own, lead, sizes, table = g.column(3).to_numpy(), g.column(4)[0].as_py(), g.column(6).to_numpy(), matrix(g.column(8))
+            comps = np.unique(g.column(7).to_numpy(), return_inverse=True)[1]
+            flagged = np.zeros(g.num_rows, bool)
+            for x in range(g.num_rows):
+                near = (comps[x + 1 :] != comps[x]) & (100 * np.minimum(sizes[x + 1 :], sizes[x]) >= percent * np.maximum(sizes[x + 1 :], sizes[x]))
+                if i != j:
+                    near &= own[x + 1 :] != own[x]
+                at = np.flatnonzero(near) + x + 1
+                if len(at):
+                    est, on, first = _estimates(table[x], sizes[x], table[at], sizes[at], lists)
+                    good = at[_hopeful(est, on, percent) & (first == lead)]
+                    flagged[good] = True
+                    flagged[x] |= len(good) > 0
+            ids = g.column(5).combine_chunks().filter(pa.array(flagged))
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), ids], names=schema.names)
 
     return rows.mapInArrow(run, schema).distinct()
 
 
+def _confirm_lists(flagged: DataFrame, texts: DataFrame, labels: DataFrame, percent: int, width: int, k: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join different components of a list; what is joined already is not compared again."""
+    labelled = flagged.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    rows = _in_blocks(labelled, TEXTS).join(texts, "id").select("key", "i", "j", "own", "id", "component_id", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    schema = StructType([StructField("a", flagged.schema["id"].dataType), StructField("b", flagged.schema["id"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, powers = WordHashes(), Powers(BASES[0])
+        for g in groups(batches, 3):
+            across, own = g.column(1)[0].as_py() != g.column(2)[0].as_py(), g.column(3).to_numpy()
+            sets = [shingle_set(t.as_py(), width, words, powers) for t in g.column(6)]
+            sizes, table = np.array([len(s) for s in sets]), np.full((len(sets), k), np.iinfo(np.int64).max)
+            for row, found in zip(table, sets, strict=True):
+                row[: min(k, len(found))] = found[:k]
+            root = np.unique(g.column(5).to_numpy(), return_inverse=True)[1]
+            out: list[tuple[int, int]] = []
+            for x in range(len(sets)):
+                near = (root[x + 1 :] != root[x]) & (100 * np.minimum(sizes[x + 1 :], sizes[x]) >= percent * np.maximum(sizes[x + 1 :], sizes[x]))
+                if across:
+                    near &= own[x + 1 :] != own[x]
+                at = np.flatnonzero(near) + x + 1
+                if not len(at):
+                    continue
+                est, on, _ = _estimates(table[x], sizes[x], table[at], sizes[at], 1)
+                for y in at[_hopeful(est, on, percent)][np.argsort(-est[_hopeful(est, on, percent)], kind="stable")].tolist():
+                    if root[x] == root[y]:
+                        continue
+                    place = np.minimum(np.searchsorted(sets[x], sets[y]), len(sets[x]) - 1)
+                    both = int((sets[x][place] == sets[y]).sum())
+                    if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                        out.append((x, y))
+                        root[root == root[y]] = root[x]
+            if out:
+                ids = g.column(4).combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([p[n] for p in out])) for n in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, k: int = SKETCH, lists: int = LISTS) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
@@ -180,14 +211,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketches = stash(sketch(docs, id_col, text_col, width, k))
     # Members of a group have equal sets, so any of them stands for the sketch.
-    groups = stash(
+    sets = stash(
         sketches.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_digest")
         .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
-    keys = groups.where("n_shingles > 1").select(
+    keys = sets.where("n_shingles > 1").select(
         "id", "n_shingles",
-        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("sketch") - 1, F.lit(lists))), lambda i: F.xxhash64(F.element_at("sketch", i.cast("int")), F.element_at("sketch", (i + 1).cast("int"))))).alias("key"),
-    )
+        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("sketch") - 1, F.lit(lists))), lambda i: F.struct(
+            F.xxhash64(F.element_at("sketch", i.cast("int")), F.element_at("sketch", (i + 1).cast("int"))).alias("key"), F.element_at("sketch", i.cast("int")).alias("lead"),
+        ))).alias("pair"),
+    ).select("id", "n_shingles", "pair.*")
     shared = keys.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.max("id").alias("last")).where("first.id < last").drop("last")
     listed = stash(keys.join(shared, "key"))
     docs_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -196,20 +229,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = listed.where("id <> first.id").where(
         F.least("n_shingles", "first.n_shingles") * 100 >= F.greatest("n_shingles", "first.n_shingles") * percent
     ).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
-    tried = pin(star)
-    links = pin(_verify(tried, texts, width, percent))
+    links = pin(_verify(star, texts, width, percent))
     labels = connected_components(links)
-    for best in (3, None):
-        more = pin(_across(listed.select("key", "id", "n_shingles"), groups, labels, percent, best, k).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tried = tried.unionByName(more)
-        found = pin(_verify(more, texts, width, percent))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = connected_components(links)
-
-    of_set = groups.select("set_digest", F.col("id").alias("first")).join(labels.withColumnRenamed("id", "first"), "first", "left").select("set_digest", F.coalesce("component_id", "first").alias("component_id"))
+    flagged = pin(_compare_lists(listed.select("key", "lead", "id", "n_shingles"), sets, labels, percent, k, lists))
+    found = pin(_confirm_lists(flagged, texts, labels, percent, width, k))
+    if not found.isEmpty():
+        labels = connected_components(links.unionByName(found))
+
+    of_set = sets.select("set_digest", F.col("id").alias("first")).join(labels.withColumnRenamed("id", "first"), "first", "left").select("set_digest", F.coalesce("component_id", "first").alias("component_id"))
     out = sketches.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_digest")).alias("set_digest")).join(of_set, "set_digest", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 

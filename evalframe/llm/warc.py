@@ -3,11 +3,13 @@
 A record is its header lines, an empty line and Content-Length bytes of payload, ended by two line ends. That end is
 the text writer's line separator, so archives are written in the JVM to any file system that Spark knows. The reader
 plans one partition for a run of files, takes predicates on the record type, target and other headers, parses headers
-first, and seeks past payloads of records that do not match or whose payload no column needs.
+first, and seeks past payloads of records that do not match or whose payload no column needs (in a compressed file,
+seeking inflates the bytes but neither copies nor decodes them).
 """
 
 from __future__ import annotations
 
+import gzip
 import io
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -47,8 +49,8 @@ def _clean(value) -> F.Column:
     return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\x00-\x1F\x7F]+", " ")
 
 
-def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 50_000) -> None:
-    """Write planned records as WARC/1.0 files under path. Revisits carry headers only."""
+def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 50_000, compression: str = "gzip") -> None:
+    """Write planned records as WARC/1.0 files under path, compressed unless compression is none. Revisits carry headers only."""
     body = F.when(F.col("record_type") == "revisit", "").otherwise(F.col("payload"))
     lines = [
         F.lit("WARC/1.0"),
@@ -62,7 +64,7 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)
-    records.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    records.select(record.alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 class _Files(InputPartition):
@@ -151,7 +153,8 @@ class WarcReader(DataSourceReader):
         wanted = {c: set(v) for c, v in self.wanted.items()}
         for path in partition.files:
             with system.open_input_file(path) as stream:
-                yield from read_records(io.BufferedReader(stream, 1 << 20), wanted, self.payload)
+                plain = gzip.GzipFile(fileobj=stream) if path.endswith(".gz") else stream
+                yield from read_records(io.BufferedReader(plain, 1 << 20), wanted, self.payload)
 
 
 class WarcSource(DataSource):
