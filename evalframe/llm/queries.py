@@ -83,7 +83,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionByName(short)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op4_toxicity, op5_sentence_pieces, op6_embedding_near_dedup,
+    op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip,
+)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
