@@ -1,10 +1,11 @@
 """Exact top-k by inner product with no-random-access aggregation over sorted lists.
 
-Queries and candidates are dealt into blocks, and every query block meets every candidate block in one task. There each
-dimension is a list of candidates sorted by component. For a query, all lists are read in step from the end that scores
-higher. What has been read gives each candidate a lower bound (unread components at their worst) and an upper bound
-(unread components at the list's present depth). Reading stops when few candidates have an upper bound that reaches the
-k-th lower bound; outsiders can no longer qualify, and the scores of the rest are resolved.
+Queries and candidates are dealt into blocks, and every query block meets every candidate block. There each dimension
+is a list of candidates sorted by component. For a query, all lists are read in step from the end that scores higher.
+What has been read gives each candidate a lower bound (unread components at their worst) and an upper bound (unread
+components at the list's present depth). Reading stops when few candidates have an upper bound that reaches the k-th
+lower bound; outsiders can no longer qualify, and the scores of the rest are resolved. A task goes through several
+candidate blocks and carries the k-th score on, so later lists are left sooner.
 """
 
 from __future__ import annotations
@@ -21,49 +22,61 @@ from .common import stash
 from .embedding_dedup import valid_vectors
 from .grouped import groups, matrix
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK, BLOCKS_A_TASK = 256, 8192, 8
 #: Shares of the lists after which the bounds are looked at, and the share of candidates that may be left to resolve.
-DEPTHS, LEFT = (0.35, 0.5, 0.65, 0.8, 1.0), 0.2
+DEPTHS, LEFT = (0.5, 0.65, 0.8), 0.15
 
 
 class SortedLists:
     """The candidates of one block, with a sorted list for each dimension."""
 
     def __init__(self, values: np.ndarray, ids: np.ndarray) -> None:
-        self.values, self.ids = values, ids
-        up = np.argsort(values, axis=0, kind="stable").T
-        self.order = np.stack([np.ascontiguousarray(up), np.ascontiguousarray(up[:, ::-1])])  # [0]: ascending, [1]: descending
-        self.sorted = np.stack([np.take_along_axis(values.T, o, 1) for o in self.order])
-
-    def top(self, query: np.ndarray, own, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best candidates but those with the query's id; ties go to the smaller id."""
-        used = np.flatnonzero(query)
-        n, w = len(self.ids), query[used].astype(np.float64)
-        out = self.ids == own
-        end = (w > 0).astype(int)
-        order, values = self.order[end, used], self.sorted[end, used] * w[:, None]
-        worst = values[:, -1] if n else w
-        read, read_worst, start = np.zeros(n), np.zeros(n), 0
-        alive = np.flatnonzero(~out)
-        for share in DEPTHS if len(used) and len(alive) > k else ():
-            depth = max(start + 1, int(np.ceil(n * share)))
-            new = order[:, start:depth].ravel()
-            read += np.bincount(new, values[:, start:depth].ravel(), n)
-            read_worst += np.bincount(new, np.repeat(worst, min(depth, n) - start), n)
-            start = min(depth, n)
-            lower = read + (worst.sum() - read_worst)
-            reach = np.partition(lower[~out], -k)[-k]
-            if start == n:
-                alive = np.flatnonzero((lower >= reach - 0.5) & ~out)
-                break
-            front = values[:, start]
-            read_front = np.bincount(order[:, :start].ravel(), np.repeat(front, start), n)
-            alive = np.flatnonzero((read + (front.sum() - read_front) >= reach - 0.5) & ~out)
-            if len(alive) <= max(k, LEFT * n):
+        self.values, self.ids, self.order = values, ids, np.argsort(values, axis=0, kind="stable")
+        self.lowest, self.highest = values.min(0).astype(np.float64), values.max(0).astype(np.float64)
+
+    def _read(self, top: np.ndarray, bottom: np.ndarray, start: int, end: int) -> None:
+        """Read places start to end of each list from both ends: what each value has is copied to top and bottom."""
+        n, dims = len(self.ids), np.arange(self.values.shape[1])
+        for part, into in ((self.order[n - end : n - start], top), (self.order[start:end], bottom)):
+            into[part, dims] = self.values[part, dims]
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, reach: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, places and scores of the k best candidates but those with its id; ties go to the smaller id.
+
+        All queries read the same lists: from the top where a component is positive, from the bottom where it is
+        negative. top and bottom hold what has been read and NaN elsewhere. Candidates below reach, a query's k-th
+        score found elsewhere, may be left out.
+        """
+        n, found = len(self.ids), [None] * len(queries)
+        up, down = np.maximum(queries, 0).T.astype(np.float64), np.minimum(queries, 0).T.astype(np.float64)
+        mine, reach, open_ones, start = self.ids[:, None] == own[None, :], reach.astype(np.float64), np.arange(len(queries)), 0
+        top, bottom = np.full(self.values.shape, np.nan), np.full(self.values.shape, np.nan)
+        for share in DEPTHS if n > 4 * k else ():
+            depth = int(n * share)
+            self._read(top, bottom, start, depth)
+            start, dims = depth, np.arange(self.values.shape[1])
+            blind = np.isneginf(reach[open_ones])
+            if blind.any():  # lower bounds: what is unread counts at the list's far end
+                q = open_ones[blind]
+                lower = np.where(np.isnan(top), self.lowest, top) @ up[:, q] + np.where(np.isnan(bottom), self.highest, bottom) @ down[:, q]
+                reach[q] = np.partition(np.where(mine[:, q], -np.inf, lower), -k, axis=0)[-k]
+            # upper bounds: what is unread counts at the list's present place
+            high, low = self.values[self.order[n - depth - 1], dims], self.values[self.order[depth], dims]
+            upper = np.where(np.isnan(top), high, top) @ up[:, open_ones] + np.where(np.isnan(bottom), low, bottom) @ down[:, open_ones]
+            able = (upper >= reach[open_ones] - 0.5) & ~mine[:, open_ones]
+            few = able.sum(0) <= LEFT * n
+            for c in np.flatnonzero(few):
+                found[open_ones[c]] = np.flatnonzero(able[:, c])
+            open_ones = open_ones[~few]
+            if not len(open_ones):
                 break
-        scores = self.values[alive] @ query
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return alive[best], scores[best]
+        out = []
+        for q, alive in enumerate(found):
+            alive = np.flatnonzero(~mine[:, q]) if alive is None else alive
+            scores = self.values[alive] @ queries[q]
+            best = np.lexsort((self.ids[alive], -scores))[:k]
+            out.append((alive[best], scores[best]))
+        return out
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
@@ -79,28 +92,42 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id"
     asked = stash(valid_vectors(queries, id_col, vec_col).select("id", whole.alias("vec"), F.size("vec").alias("dims")).dropDuplicates(["id"]))
     n_c, n_q = cand.count(), asked.count()
     c_blocks, q_blocks = -(-n_c // candidate_block) or 1, -(-n_q // query_block) or 1
-    dealt = lambda df, mine, theirs, n, m, role: df.withColumns({mine: F.pmod(F.xxhash64("id"), F.lit(n)), theirs: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))), "role": F.lit(role)})
-    columns = ["dims", "c", "q", "role", "id", "vec"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    columns = ["dims", "q", "part", "c", "id", "vec"]
+    placed = cand.withColumns({"c": F.pmod(F.xxhash64("id"), F.lit(c_blocks)), "q": every(q_blocks)}).withColumn("part", F.floor(F.col("c") / BLOCKS_A_TASK))
+    asking = asked.withColumns({"q": F.pmod(F.xxhash64("id"), F.lit(q_blocks)), "part": every(-(-c_blocks // BLOCKS_A_TASK)), "c": F.lit(-1).cast("long")})
     rows = (
-        dealt(cand, "c", "q", c_blocks, q_blocks, 0).select(*columns).unionByName(dealt(asked, "q", "c", q_blocks, c_blocks, 1).select(*columns))
-        .repartition(max(c_blocks * q_blocks, 1), "dims", "c", "q").sortWithinPartitions("dims", "c", "q", "role")
+        placed.select(*columns).unionByName(asking.select(*columns))
+        .repartition(q_blocks * -(-c_blocks // BLOCKS_A_TASK), "dims", "q", "part").sortWithinPartitions("dims", "q", "part", "c")
     )
     kind = df.schema[id_col].dataType
     schema = StructType([StructField("query_id", kind), StructField("vec_id", kind), *StructType.fromDDL("score long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 3):
-            role, ids = g.column(3).to_numpy(), g.column(4).combine_chunks()
-            values, numbers = matrix(g.column(5)), ids.to_numpy(zero_copy_only=False)
-            split = int((role == 0).sum())
-            if split in (0, len(role)):
-                continue
-            lists = SortedLists(values[:split], numbers[:split])
-            q_at, c_at, scores = [], [], []
-            for q in range(split, len(role)):
-                at, score = lists.top(values[q], numbers[q], k)
-                q_at.append(np.full(len(at), q)), c_at.append(at), scores.append(score)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(q_at))), ids.take(pa.array(np.concatenate(c_at))), pa.array(np.concatenate(scores))], names=schema.names)
+        """Groups come as the queries of a task (c = -1), then its candidate blocks one by one."""
+        task, asked_ids, asked_values, kept = None, [], np.zeros((0, 0)), []
+
+        def results() -> Iterator[pa.RecordBatch]:
+            rows = [(q, i, s) for q, (ids, scores) in zip(asked_ids, kept, strict=True) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds) for n, kinds in enumerate((id_type, id_type, pa.int64()))], names=schema.names)
+
+        for g in groups(batches, 4):
+            now, id_type = tuple(g.column(n)[0].as_py() for n in range(3)), g.column(4).type
+            values, ids = matrix(g.column(5)), g.column(4).to_numpy()
+            if now != task:
+                yield from results()
+                task, asked_ids, kept = now, [], []
+            if g.column(3)[0].as_py() < 0:
+                asked_ids, asked_values = ids.tolist(), values
+                kept = [(ids[:0], values[:0, 0])] * len(ids)
+            elif asked_ids:
+                reach = np.array([x[-1] if len(x) == k else -np.inf for _, x in kept])
+                for q, (at, score) in enumerate(SortedLists(values, ids).top(asked_values, np.array(asked_ids), k, reach)):
+                    both, total = np.concatenate([kept[q][0], ids[at]]), np.concatenate([kept[q][1], score])
+                    best = np.lexsort((both, -total))[:k]
+                    kept[q] = both[best], total[best]
+        yield from results()
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.mapInArrow(run, schema).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
