@@ -17,7 +17,8 @@ from .dataset import set_digest
 def grams(text: Column) -> Column:
     """Lower-cased words of two characters and more, and neighbouring pairs."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.element_at(found, i + 2)))
+    fewer = F.greatest(F.size(found) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(found, 1, fewer), F.slice(found, 2, fewer), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(found, pairs)
 
 

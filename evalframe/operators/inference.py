@@ -17,6 +17,17 @@ class InvalidOutput(Exception):
     """Raised by a model whose output is no prediction; the text is kept."""
 
 
+#: pandas types that can hold nulls.
+NULLABLE = {"retriable": "boolean", "relevant": "boolean", "unsupported": "boolean", "input_tokens": "Int64", "output_tokens": "Int64", "latency_ms": "Float64", "score": "Float64"}
+
+
+def _typed(rows: list[dict], names: list[str], ids: pd.Series) -> pd.DataFrame:
+    out = {ids.name: ids.reset_index(drop=True)}
+    for n in names:
+        out[n] = pd.Series([r.get(n) for r in rows], dtype=NULLABLE.get(n, "object"))
+    return pd.DataFrame(out)
+
+
 def run_model(df: DataFrame, make_model: Callable[[], Callable[[dict], dict]], id_col: str, input_cols: list[str]) -> DataFrame:
     """Call a model on each row: (id_col and OUTCOME).
 
@@ -43,12 +54,7 @@ def run_model(df: DataFrame, make_model: Callable[[], Callable[[dict], dict]], i
         model = make_model()
         for batch in batches:
             rows = [call(model, r) for r in batch[input_cols].to_dict("records")]
-            out = pd.DataFrame(rows, columns=names, index=batch.index)
-            for c in ("input_tokens", "output_tokens"):
-                out[c] = out[c].astype("Int64")
-            out["retriable"] = out["retriable"].astype("boolean")
-            out.insert(0, id_col, batch[id_col])
-            yield out
+            yield _typed(rows, names, batch[id_col])
 
     return df.select(*dict.fromkeys([id_col, *input_cols])).mapInPandas(run, schema)
 
@@ -73,11 +79,7 @@ def run_judge(requests: DataFrame, make_judge: Callable[[], Callable[[dict], dic
                     rows.append({"status": "ok", "relevant": bool(got["relevant"]), "unsupported": bool(got["unsupported"]), "score": float(got["score"])})
                 except Exception as e:
                     rows.append({"status": "error", "error_kind": type(e).__name__})
-            out = pd.DataFrame(rows, columns=names, index=batch.index)
-            for c in ("relevant", "unsupported"):
-                out[c] = out[c].astype("boolean")
-            out.insert(0, id_col, batch[id_col])
-            yield out
+            yield _typed(rows, names, batch[id_col])
 
     return requests.select(*dict.fromkeys([id_col, *input_cols])).mapInPandas(run, schema)
 
