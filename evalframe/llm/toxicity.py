@@ -9,7 +9,6 @@ the window of each training document that scores highest, which is how a documen
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +78,8 @@ class Network:
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """Input vector of each word."""
+        if len(words) > 4096:  # bounds what is held at once
+            return np.concatenate([self.inputs(words[i : i + 4096]) for i in range(0, len(words), 4096)])
         buckets, starts = char_buckets(words)
         sums = np.add.reduceat(self.p["chars"][buckets], starts, axis=0)
         counts = np.diff(np.append(starts, len(buckets)))
@@ -202,17 +203,23 @@ def evidence(holds: np.ndarray, toxic: int, clean: int) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network | None:
     """Fit by about so many steps of Adam on the highest window of each text. None without texts of both labels."""
-    tokens = [words_of(t) for t in texts]
-    rows = [i for i, t in enumerate(tokens) if t]
-    tokens, label = [tokens[i] for i in rows], np.array([labels[i] for i in rows], np.float32)
+    place: dict[bytes, int] = {}
+    numbers, label = [], []
+    for t, y in zip(texts, labels, strict=True):
+        found = words_of(t)
+        if found:
+            numbers.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.int32, len(found)))
+            label.append(y)
+    label = np.array(label, np.float32)
     if len(set(label.tolist())) < 2:
         return None
-    seen = Counter(w for t in tokens for w in set(t))
-    net = Network([w for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:WORDS] if c > 2], seed)
-    vocabulary = sorted(seen)
-    place = {w: i for i, w in enumerate(vocabulary)}
-    numbers = [np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in tokens]
-    buckets, starts = char_buckets(vocabulary)
+    vocabulary = list(place)
+    seen = np.bincount(np.concatenate([np.unique(x) for x in numbers]), minlength=len(vocabulary))
+    common = sorted(np.flatnonzero(seen > 2).tolist(), key=lambda i: (-seen[i], vocabulary[i]))[:WORDS]
+    net = Network([vocabulary[i] for i in common], seed)
+    parts = [char_buckets(vocabulary[i : i + 4096]) for i in range(0, len(vocabulary), 4096)]
+    shifts = np.cumsum([0, *(len(x) for x, _ in parts)])
+    buckets, starts = np.concatenate([x for x, _ in parts]).astype(np.int32), np.concatenate([x + k for (_, x), k in zip(parts, shifts, strict=False)])
     counts = np.diff(np.append(starts, len(buckets)))
     known = np.fromiter((net.number.get(w, 0) for w in vocabulary), np.int64, len(vocabulary))
     # One coordinate of the embeddings starts as the feature's evidence, the rest at random.
@@ -228,7 +235,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48,
     net.p["chars"][:, 0] = evidence(bucket_holds, n_toxic, len(label) - n_toxic)
     spans = [(k, s) for k, x in enumerate(numbers) for s in windows_of(len(x))]
     owner, none = np.array([k for k, _ in spans]), len(vocabulary)
-    all_at = np.full((len(spans), WINDOW), none)
+    all_at = np.full((len(spans), WINDOW), none, np.int32)
     for row, (k, s) in zip(all_at, spans, strict=True):
         row[: len(numbers[k][s : s + WINDOW])] = numbers[k][s : s + WINDOW]
     balance = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())).astype(np.float32)
@@ -275,7 +282,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48,
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_bytes: int = 200_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1200, max_bytes: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
     """At most per_label texts of each label, by a hash order of their ids, none above max_bytes.
 
     Never rows with crc32(id as text) mod 4 = 2, which are held out. Ids with both labels are left out.
