@@ -1,5 +1,6 @@
 """The training-data operators on small tables: brute force, edge cases, round trips."""
 
+import functools
 import hashlib
 import os
 import random
@@ -65,7 +66,6 @@ def test_line_dedup(spark):
     flagged = line_dedup.boilerplate_lines(df, min_sites=10).collect()
     assert [(r.sites, r.exact) for r in flagged] == [(12, True)]
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
-    assert line
 
 
 # 2
@@ -196,11 +196,15 @@ def vocabulary():
     return pieces.Vocabulary(pieces.read_pieces(pieces.PIECES))
 
 
+@functools.cache
+def piece_scores():
+    return {p.encode(): s for p, s, kind in pieces.read_pieces(pieces.PIECES) if kind == pieces.NORMAL}
+
+
 def slow_viterbi(v, text):
     """Plain search over the whole text: the best sum of scores."""
     data = (pieces.MARK + text.replace(" ", pieces.MARK)).encode()
-    table = {pieces.read_pieces(pieces.PIECES)[i][0].encode(): float(s) for i, s in zip(v.ids, v.scores)} if not hasattr(slow_viterbi, "t") else slow_viterbi.t
-    slow_viterbi.t = table
+    table = piece_scores()
     best = [0.0] + [-float("inf")] * len(data)
     for i in range(len(data)):
         if best[i] == -float("inf") or data[i] & 0xC0 == 0x80:
@@ -371,6 +375,5 @@ def test_warc(spark, tmp_path):
                 assert hashlib.sha256(bytes(r.payload)).hexdigest() == r.payload_digest.removeprefix("sha256:")
         one = warc.read_warc(spark, path, payload=False).where("record_type = 'revisit' AND target_uri = 'http://a/3'")
         assert [r.payload for r in one.collect()] == [None]
-        assert "WarcReader" not in one._jdf.queryExecution().toString() or True
     warc.write_warc(warc.plan_records(df.limit(0)), str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
