@@ -93,9 +93,18 @@ class Network:
         none[:, :HIDDEN] = none[:, 3 * HIDDEN : 4 * HIDDEN] = 30
         return np.concatenate([g, none]).astype(np.float32)
 
+    def table(self, words: list[bytes]) -> np.ndarray:
+        """gates of many words, filled in parts so that no second copy is held."""
+        out = np.empty((len(words) + 1, 6 * HIDDEN), np.float32)
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            out[i : i + len(part)] = self.gates(self.inputs(part))[:-1]
+        out[-1] = self.gates(np.zeros((0, WORD_DIM + CHAR_DIM), np.float32))[0]
+        return out
+
     def _run(self, gates: np.ndarray, at: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
         """States (windows, WINDOW, HIDDEN) of one direction. at: gate rows (windows, WINDOW)."""
-        g, u = np.ascontiguousarray(gates[:, : 3 * HIDDEN] if way == "f" else gates[:, 3 * HIDDEN :]), self.p[f"h{way}"]
+        g, u = gates[:, : 3 * HIDDEN] if way == "f" else gates[:, 3 * HIDDEN :], self.p[f"h{way}"]
         h, out = np.zeros((len(at), HIDDEN), np.float32), np.empty((at.shape[1], len(at), HIDDEN), np.float32)
         for t in range(at.shape[1]) if way == "f" else range(at.shape[1] - 1, -1, -1):
             a, b = g[at[:, t]], h @ u
@@ -240,15 +249,14 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48,
         row[: len(numbers[k][s : s + WINDOW])] = numbers[k][s : s + WINDOW]
     balance = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())).astype(np.float32)
     rng, moments, step = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}, 0
-    gates = net.gates(net.inputs(vocabulary))
     epochs = max(5, round(steps * batch / len(label)))
     for epoch in range(epochs):
         if epoch:
-            gates = net.gates(net.inputs(vocabulary))
+            gates = net.table(vocabulary)
             logits = np.concatenate([net.forward(gates, all_at[i : i + 2048]) for i in range(0, len(all_at), 2048)])
         else:
             lean = np.append(net.inputs(vocabulary)[:, [0, WORD_DIM]].sum(1), 0)
-            logits = lean[all_at].max(1)
+            logits = np.concatenate([lean[all_at[i : i + 2048]].max(1) for i in range(0, len(all_at), 2048)])
         order = np.lexsort((logits, owner))
         best = order[np.append(owner[order][1:] != owner[order][:-1], True)]  # the last, highest, of each text
         for chunk in np.array_split(rng.permutation(best), max(1, len(best) // batch)):
@@ -282,7 +290,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48,
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1200, max_bytes: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1000, max_bytes: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
     """At most per_label texts of each label, by a hash order of their ids, none above max_bytes.
 
     Never rows with crc32(id as text) mod 4 = 2, which are held out. Ids with both labels are left out.
