@@ -42,7 +42,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def codes(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = 11) -> np.ndarray:
     """Bucket numbers (rows, tables, 1 + probes): the own bucket first, then probes by how little they lose."""
-    width = 1 << max(1, (unit.shape[1] - 1).bit_length())
+    width = 1 << (max(unit.shape[1], probes + 1, 2) - 1).bit_length()
     padded = np.zeros((len(unit), width), np.float32)
     padded[:, : unit.shape[1]] = unit
     rng = np.random.default_rng(seed)
