@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus as piece ids, with proof that they decode to the text."""
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
+    both = pieces.encode_and_decode(docs.select("doc_id", "lang", "source", "text"))
     return both.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

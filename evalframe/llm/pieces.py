@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -22,7 +23,10 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Kinds of pieces in the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO_CHUNKS = 300_000
+#: Solved chunks that a task remembers, and the characters in them.
+MEMO_CHUNKS, MEMO_CHARS = 200_000, 1 << 22
+#: Rows, and bytes of their texts, that a task works on at once (a longer text goes alone); cells of a search table.
+ROWS, BYTES, CELLS = 256, 1 << 20, 1 << 19
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -124,11 +128,12 @@ class Encoder:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; an empty or null text has none."""
-        if len(self.number) > MEMO_CHUNKS:
+        if len(self.number) > MEMO_CHUNKS or self.chars > MEMO_CHARS:
             self.clear()
         new: list[str] = []
         number, out = self.number, []
@@ -139,6 +144,7 @@ class Encoder:
                 new.append(c)
             out.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
         if new:
+            self.chars += sum(map(len, new))
             flat, sizes = self._solve([c.replace(" ", MARK).encode() for c in new])
             self.flat = np.concatenate([self.flat, flat])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
@@ -157,7 +163,7 @@ class Encoder:
         at = 0
         while at < len(order):
             reach = max(16, 2 * int(lengths[order[at]]))
-            end = min(np.searchsorted(lengths[order], reach, side="right"), at + max(1, (1 << 22) // reach))
+            end = min(np.searchsorted(lengths[order], reach, side="right"), at + max(1, CELLS // reach))
             part = order[at:end]
             for i, ids in zip(part, self._viterbi([chunks[i] for i in part], lengths[part]), strict=True):
                 out[i] = ids
@@ -219,23 +225,45 @@ class Encoder:
         return np.split(ids, np.cumsum(np.bincount(chunk_of, minlength=n))[:-1])
 
 
-def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
+def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     """The text of ids: byte pieces joined to characters, marks to spaces, without the space put before the text."""
-    text = b"".join(map(vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+    parts = (b"".join(map(vocabulary.bytes_of.__getitem__, ids[i : i + 65536].tolist())) for i in range(0, len(ids), 65536))
+    text = b"".join(parts).decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
-def _with(df: DataFrame, name: str, kind, of: str, task) -> DataFrame:
-    """df with column name made by task() -> (column of a slice -> Arrow array), in slices of 256 rows."""
-    base = df.drop(name)
-    schema, place = StructType([*base.schema.fields, StructField(name, kind)]), base.columns.index(of)
+def _slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that are small enough to work on at once, by the size of the column at place."""
+    column = batch.column(place)
+    sizes = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column)
+    begin = held = 0
+    for i, size in enumerate(pc.fill_null(sizes, 0).to_pylist()):
+        if i > begin and (i - begin == ROWS or held + size > BYTES):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
+def _encoded(encoder: Encoder, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
+    """Ids of each text, and the same as a list column that is null where the text is."""
+    ids = encoder.encode(texts.to_pylist())
+    ends = np.cumsum([0, *map(len, ids)])
+    starts = pa.array(ends.tolist(), pa.int32(), mask=np.append(np.asarray(texts.is_null()), False))
+    return ids, pa.ListArray.from_arrays(starts, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
+def _with(df: DataFrame, added: list[StructField], of: str, task) -> DataFrame:
+    """df with the added columns, which task() -> (column of a slice -> Arrow arrays) makes from the column of."""
+    base = df.drop(*(f.name for f in added))
+    schema, place = StructType([*base.schema.fields, *added]), base.columns.index(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = task()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(place))], names=schema.names)
+            for part in _slices(batch, place):
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(place))], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
@@ -246,19 +274,32 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", mo
 
     def task():
         encoder = Encoder(vocabulary)
+        return lambda texts: [_encoded(encoder, texts)[1]]
 
-        def make(column: pa.Array) -> pa.Array:
-            ids = encoder.encode(column.to_pylist())
-            ends = np.cumsum([0, *map(len, ids)])
-            starts = pa.array(ends.tolist(), pa.int32(), mask=np.append(np.asarray(column.is_null()), False))
-            return pa.ListArray.from_arrays(starts, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-
-        return make
-
-    return _with(df, ids_col, ArrayType(IntegerType(), False), text_col, task)
+    return _with(df, [StructField(ids_col, ArrayType(IntegerType(), False))], text_col, task)
 
 
 def decode(df: DataFrame, ids_col: str = "piece_ids", text_col: str = "decoded", model: str = PIECES) -> DataFrame:
     """df plus text_col, the text of ids_col; null stays null. A mark in the original text comes back as a space."""
     vocabulary = Vocabulary(read_pieces(model))
-    return _with(df, text_col, StringType(), ids_col, lambda: lambda column: pa.array([None if x is None else decode_ids(vocabulary, x) for x in column.to_pylist()], pa.string()))
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        return [pa.array([decode_ids(vocabulary, x.values.to_numpy()) if x.is_valid else None for x in column], pa.string())]
+
+    return _with(df, [StructField(text_col, StringType())], ids_col, lambda: make)
+
+
+def encode_and_decode(df: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str = "decoded", model: str = PIECES) -> DataFrame:
+    """decode(encode(df)) in one pass, so that a task needs one Python process and its rows cross once."""
+    vocabulary = Vocabulary(read_pieces(model))
+
+    def task():
+        encoder = Encoder(vocabulary)
+
+        def make(texts: pa.Array) -> list[pa.Array]:
+            ids, column = _encoded(encoder, texts)
+            return [column, pa.array([decode_ids(vocabulary, x) if valid else None for x, valid in zip(ids, texts.is_valid().to_pylist(), strict=True)], pa.string())]
+
+        return make
+
+    return _with(df, [StructField(ids_col, ArrayType(IntegerType(), False)), StructField(decoded_col, StringType())], text_col, task)

@@ -51,8 +51,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return pieces.decode(encoded).select(
+    both = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return both.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )

@@ -224,7 +224,7 @@ def test_pieces(vocabulary):
     encoder = pieces.Encoder(vocabulary)
     scores = {int(i): float(s) for i, s in zip(vocabulary.ids, vocabulary.scores)}
     for t, ids in zip(samples, encoder.encode(samples)):
-        assert pieces.decode_ids(vocabulary, ids.tolist()) == t
+        assert pieces.decode_ids(vocabulary, ids) == t
         if all(c in "ab theon" for c in t) and "  " not in t:
             assert sum(scores[i] for i in ids.tolist()) == pytest.approx(slow_viterbi(vocabulary, t))
     assert [len(x) for x in encoder.encode([None, ""])] == [0, 0]
@@ -234,7 +234,19 @@ def test_pieces_in_spark(spark, vocabulary, docs):
     more = docs.unionByName(spark.createDataFrame([(999, "lang" * 5000, None, "", 0)], docs.schema)).withColumn("piece_ids", F.lit("old"))
     got = pieces.decode(pieces.encode(more)).collect()
     assert len(got) == docs.count() + 1 and all(r.decoded == r.text for r in got)
-    assert pieces.decode(pieces.encode(empty(spark))).count() == 0
+    assert sorted(map(str, pieces.encode_and_decode(more.withColumn("decoded", F.lit("old"))).collect())) == sorted(map(str, got))
+    assert pieces.decode(pieces.encode(empty(spark))).count() == pieces.encode_and_decode(empty(spark)).count() == 0
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    texts = ["a"] * 600 + [None, "", "b" * 3_000_000, "c" * 700_000, "d" * 700_000, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["n", "text"])
+    parts = list(pieces._slices(batch, 1))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or (p.num_rows <= pieces.ROWS and sum(len(t or "") for t in p.column(1).to_pylist()) <= pieces.BYTES) for p in parts)
+    assert list(pieces._slices(batch.slice(0, 0), 1)) == []
 
 
 # 6
