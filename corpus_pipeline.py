@@ -26,8 +26,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.85 or more."""
-    return minhash.drop_near_duplicates(docs).select(*COLUMNS)
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return minhash.drop_near_duplicates(docs, percent=80).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,15 @@ def test_stages(spark, tmp_path):
     source, kept = out["sentence_pieces"]
     assert len(kept) == len(source) and all(r.round_trip for r in kept)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept)
+
+
+def test_near_copies_at_80(spark, tmp_path):
+    """The stage links from 0.8 on: 45 of 55 shingles do, 39 of 49 do not."""
+    texts = {}
+    for n, words in enumerate((54, 48)):
+        base = [f"w{n}x{i}" for i in range(words)]
+        texts |= {2 * n: " ".join(base), 2 * n + 1: " ".join([*base[:20], "other", *base[21:]])}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    _, root = expected_components(texts, 80)
+    assert root == {0: 0, 1: 0, 2: 2, 3: 3} and len(set(expected_components(texts, 85)[1].values())) == 4
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()) == sorted(k for k, v in root.items() if k == v)
