@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import contains_literal, normalize_text
+
 
 def duplicates(df: DataFrame, key: str, id_col: str, order: list[str] | None = None) -> DataFrame:
     """Rows whose key came before, with the row before and the first one: (key, id, previous_id, first_id)."""
@@ -65,6 +67,39 @@ def validate_dataset(df: DataFrame, id_col: str, key: str, label_key: str, split
     )
 
 
+def containment(docs: DataFrame, items: DataFrame, run: int = 8) -> DataFrame:
+    """(item_id, doc_id) for documents whose normalised text holds an item's; an empty item is in none.
+
+    An item's first and last word may end inside a document's words, those between are whole. A document must share
+    words 2 to run + 1 of an item, or all inner words if there are fewer. A pair of words is looked up as the end of a
+    word and the start of the next one, a single word among the parts of words that have its length.
+    """
+    split = lambda d, i: d.select(i, normalize_text("text", fold=True).alias("body")).where("body <> ''").withColumn("w", F.split("body", " "))
+    gram = lambda w, at, n: F.array_join(F.slice(w, at, n), " ")
+    steps = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), f)
+    d = split(docs, "doc_id")
+    inner = F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(run))
+    size = lambda at: F.when(inner == 0, F.char_length(F.element_at("w", at))).otherwise(0)
+    known = split(items, "item_id").select("item_id", F.col("body").alias("item"), inner.alias("n"), F.when(F.size("w") == 1, 0).otherwise(size(1)).alias("left"), size(-1).alias("right"), F.when(inner > 0, gram(F.col("w"), 2, inner)).otherwise(F.col("body")).alias("g"))
+    shapes = known.select("n", "left", "right").distinct().collect()  # runs of 1 to run words; lengths of words in items of one or two
+    words = F.col("w")
+    found = None
+    for n, left, right in shapes:
+        if n:
+            made = d.select("doc_id", F.explode(F.array_distinct(steps(F.size("w") - n + 1, lambda i: gram(words, i, n)))).alias("g"))
+        elif left:
+            ends = lambda i: F.when((F.char_length(F.get(words, i - 1)) >= left) & (F.char_length(F.get(words, i)) >= right), F.concat(F.right(F.get(words, i - 1), F.lit(left)), F.lit(" "), F.left(F.get(words, i), F.lit(right))))
+            made = d.select("doc_id", F.explode(F.array_distinct(F.array_compact(steps(F.size("w") - 1, ends)))).alias("g"))
+        else:
+            each = d.select("doc_id", F.explode(F.array_distinct("w")).alias("x"))
+            made = each.select("doc_id", F.explode(steps(F.char_length("x") - right + 1, lambda i: F.substring(F.col("x"), i, F.lit(right)))).alias("g")).distinct()
+        hits = made.join(known.where((F.col("n") == n) & (F.col("left") == left) & (F.col("right") == right)), "g").select("doc_id", "item_id", "item")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return items.select("item_id").crossJoin(docs.select("doc_id")).limit(0)
+    return found.join(d.select("doc_id", "body"), "doc_id").where(contains_literal(F.col("body"), F.col("item"))).select("item_id", "doc_id")
+
+
 def full_diff(declared: DataFrame, actual: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows where two keyed tables differ: (keys, status: missing, extra or changed, declared, actual)."""
     a, b = declared.select(*keys, F.col(value).alias("declared"), F.lit(1).alias("in_a")), actual.select(*keys, F.col(value).alias("actual"), F.lit(1).alias("in_b"))

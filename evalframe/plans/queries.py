@@ -96,14 +96,7 @@ def dataset_violations(spark, sf_dir):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(replace(lower(d.text), 'ß', 'ss'), '\\s+', ' ', 'g')), trim(regexp_replace(replace(lower(b.text), 'ß', 'ss'), '\\s+', ' ', 'g')))")
 def benchmark_containment(spark, sf_dir):
-    """Documents that hold a benchmark item. Items share a first run of eight words with a document before texts are compared."""
-    split = lambda d, i: d.select(i, text.normalize_text("text", fold=True).alias("body")).withColumn("w", F.split("body", " "))
-    gram = lambda w, at: F.array_join(F.slice(w, at, 8), " ")
-    bench = split(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.col("body").alias("item"), gram(F.slice("w", 2, 100000), 1).alias("g"))
-    d = split(docs(spark, sf_dir), "doc_id")
-    grams = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: gram(F.col("w"), i)))).alias("g"))
-    hits = grams.join(bench, "g").select("doc_id", "item_id", "item")
-    return hits.join(d.select("doc_id", "body"), "doc_id").where(text.contains_literal(F.col("body"), F.col("item"))).select("item_id", "doc_id")
+    return dataset.containment(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 @query("""WITH w AS (SELECT doc_id, lower(text) AS t, [lang || ' ', 'the', 'von', ' ', 'of the'] AS e FROM documents), f AS (SELECT doc_id, t, list_filter(e, lambda x: trim(x) <> '') AS e FROM w)

@@ -170,3 +170,17 @@ def test_telemetry(spark, tmp_path):
     assert good.count() == 1 and bad.count() == 1
     with pytest.raises(ValueError):
         telemetry.only_operational(ev.withColumn("body", F.lit("x")))
+
+
+def test_containment(spark):
+    """Items of 1 to 10 words, inside documents whose words run on at both ends, against plain search."""
+    words = [f"w{i}" for i in range(14)]
+    docs = {1: "pre" + " ".join(words) + "post", 2: " ".join(words[:9]) + "x tail", 3: "unrelated text of w5 w6x only", 4: "w5", 5: " ".join(words[3:8]), 6: "", 7: None, 8: "a  STRASSE\tnext ab abab"}
+    items = {n: " ".join(words[:n]) for n in range(1, 11)} | {20 + n: " ".join(words[14 - n :]) for n in range(1, 11)} | {40: "ab", 41: "e n", 42: "straße", 43: "", 44: "w5 w6", 45: "a STRASSE next", 46: None, 47: "w9 w8 w7"}
+    fold = lambda t: " ".join(t.casefold().split())
+    want = {(i, d) for i, a in items.items() for d, b in docs.items() if a and b and fold(a) in fold(b)}
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} long, text string")
+    got = [tuple(r) for r in dataset.containment(frame(docs, "doc_id"), frame(items, "item_id")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {i for i, _ in want} >= set(range(1, 11)) | set(range(21, 31))
+    assert dataset.containment(frame(docs, "doc_id"), frame(items, "item_id").limit(0)).count() == 0
