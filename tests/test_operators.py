@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evalframe.functions import routing_score, text
 from evalframe.operators import contracts, costs, dataset, inference, judge, regression, routing, scoring, sft, stats
+from evalframe.plans import queries
 from evalframe.streaming import telemetry
 
 
@@ -184,3 +185,17 @@ def test_containment(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert {i for i, _ in want} >= set(range(1, 11)) | set(range(21, 31))
     assert dataset.containment(frame(docs, "doc_id"), frame(items, "item_id").limit(0)).count() == 0
+
+
+def test_label_conflicts(spark, tmp_path):
+    """Equal texts with different labels conflict; documents that only begin alike, or without labels, do not."""
+    start = "the very same first twenty characters, "
+    docs = [(9 * n, t, "en", "s", len(t)) for n, t in enumerate([start + "one", start.upper() + "  One", start + "two", start + "three", start + "three", start + "three", "b", "b"])]
+    docs += [(1 + 9 * 5, "validation", "en", "s", 1), (5, "v", "en", "s", 1), (6, "t", "en", "s", 1), (8, "a", "en", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(0, 1, 0), (9, 0, 0), (18, 0, 1), (27, 1, 0), (36, 1, 0), (54, 1, 0), (63, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.QUERIES["label_conflicts"](spark, str(tmp_path)).collect()
+    assert sorted((r.first_id, r.labels, r.rows) for r in got) == [(0, 2, 2), (54, 2, 2)]
+    found = {r.check: r.n for r in queries.QUERIES["dataset_violations"](spark, str(tmp_path)).collect()}
+    assert found == {"conflicting_labels": 2, "duplicate_input": 4}
