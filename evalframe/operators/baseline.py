@@ -11,7 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dataset import set_digest
+from .dataset import prefix_digest
 
 
 def grams(text: Column) -> Column:
@@ -35,7 +35,7 @@ class TextBaseline:
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, label: str, vocabulary: int = 2_000, max_iter: int = 100) -> TextBaseline:
-        """Needs two labels at least. identity: digest of the texts' digests with their labels."""
+        """Needs two labels at least. identity: prefix_digest of the texts' digests with their labels."""
         rows = df.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), grams(F.col(text)).alias("grams")).where("label IS NOT NULL").persist()
         sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a closed vocabulary
         if len(sizes) < 2:
@@ -49,7 +49,7 @@ class TextBaseline:
         weight = F.create_map(*(F.lit(x) for k in labels for x in (k, n / (len(labels) * sizes[k]))))
         ready = cls._weigh(counts.transform(rows), idf).select("features", F.element_at(table, F.col("label")).alias("y"), F.element_at(weight, F.col("label")).alias("c")).persist()
         model = LogisticRegression(labelCol="y", weightCol="c", maxIter=max_iter, regParam=1.0 / n, standardization=False).fit(ready)
-        identity = set_digest(rows.select(F.sha2(F.concat_ws("\n", F.sha2("text", 256), "label"), 256).alias("k")), "k").first()["digest"]
+        identity = prefix_digest(rows.select(F.sha2(F.concat_ws("\n", F.sha2("text", 256), "label"), 256).alias("k")), "k").first()["digest"]
         rows.unpersist()
         ready.unpersist()
         return cls(counts, idf, model, labels, identity)

@@ -46,10 +46,11 @@ def set_digest(df: DataFrame, key: str, by: list[str] | None = None, distinct: b
     return df.groupBy(*(by or [])).agg(F.count(key).alias("keys"), F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(key)), "\n"), F.lit("\n")), 256).alias("digest"))
 
 
-def prefix_digest(df: DataFrame, key: str, digits: int = 3) -> DataFrame:
+def prefix_digest(df: DataFrame, key: str, digits: int = 3, by: list[str] | None = None) -> DataFrame:
     """A digest of digests for very many hexadecimal keys: one per prefix, then one over prefixes. Not equal to set_digest."""
-    parts = set_digest(df.withColumn("prefix", F.substring(key, 1, digits)), key, ["prefix"])
-    return parts.agg(F.sum("keys").alias("keys"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("digest"))
+    by = by or []
+    parts = set_digest(df.withColumn("prefix", F.substring(key, 1, digits)), key, [*by, "prefix"])
+    return parts.groupBy(*by).agg(F.sum("keys").alias("keys"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("digest"))
 
 
 def validate_dataset(df: DataFrame, id_col: str, key: str, label_key: str, split_col: str, splits: list[str]) -> DataFrame:

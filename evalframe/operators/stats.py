@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct values that one task sorts for a percentile.
+PER_RANGE = 20_000
+
 from .scoring import ratio
 
 
@@ -75,15 +78,36 @@ def percentile(df: DataFrame, value: str, shares: list[float], by: list[str] | N
 
 
 def weighted_percentile(df: DataFrame, value: str, weight: str, shares: list[float], by: list[str] | None = None, empty: float | None = None) -> DataFrame:
-    """The smallest value whose running weight reaches the share of all weight. Null values and weights of 0 play no part."""
+    """The smallest value whose running weight reaches the share of all weight. Null values and weights of 0 play no part.
+
+    Values are dealt into ranges of about PER_RANGE; totals of ranges tell which one holds a share, and only those are sorted.
+    """
     by = by or []
     points = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("w"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cumulated = points.withColumns({"cum": F.sum("w").over(up), "all": F.sum("w").over(Window.partitionBy(*by))})
-    pick = [F.min(F.when(F.col("cum") >= s * F.col("all"), F.col(value))) for s in shares]
+    edges = F.array(*map(F.lit, _range_edges(points, value)))
+    points = points.withColumn("part", F.size(F.filter(edges, lambda e: e <= F.col(value))))
+    group = Window.partitionBy(*by)
+    ends = F.sum("all").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    totals = points.groupBy(*by, "part").agg(F.sum("w").alias("all")).withColumn("end", ends)  # a row for each group and range
+    totals = totals.withColumns({"before": F.coalesce(F.lag("end").over(group.orderBy("part")), F.lit(0)), "all": F.max("end").over(group)})
+    holds = [(F.col("end") >= s * F.col("all")) & ((F.col("before") < s * F.col("all")) | (F.col("before") <= 0)) for s in shares]
+    held = totals.select(F.struct(*(F.col(c) for c in [*by, "part"])).alias("__ef_key"), "before", "all", F.array(*holds).alias("holds")).where(F.exists("holds", lambda h: h))
+    near = points.join(held, F.struct(*(F.col(c) for c in [*by, "part"])).eqNullSafe(F.col("__ef_key")))
+    cum = F.col("before") + F.sum("w").over(Window.partitionBy(*by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    cumulated = near.withColumn("cum", cum)
+    # Sums in another order may round below the range's total; its last value holds the share then.
+    pick = [F.coalesce(F.min(F.when(F.col("holds")[n] & (F.col("cum") >= s * F.col("all")), F.col(value))), F.max(F.when(F.col("holds")[n], F.col(value)))) for n, s in enumerate(shares)]
     return cumulated.groupBy(*by).agg(*((F.coalesce(p, F.lit(empty)) if empty is not None else p).alias(f"p{round(s * 100)}") for p, s in zip(pick, shares, strict=True)))
 
 
+def _range_edges(points: DataFrame, value: str) -> list:
+    """Lower edges of ranges of values that hold about PER_RANGE rows each, at most 1,000 edges."""
+    many = [n / 1000 for n in range(1, 1000)]
+    found = points.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, many, 10_000).alias("edges")).first()
+    step = max(1, round(1000 * PER_RANGE / max(found["n"], 1)))
+    return sorted(set((found["edges"] or [])[step - 1 :: step]))
+
+
 def bad_weights(df: DataFrame, weight: str) -> DataFrame:
     """Rows that a weighted statistic must refuse: negative, NaN or infinite weights."""
     w = F.col(weight).cast("double")

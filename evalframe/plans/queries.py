@@ -97,9 +97,16 @@ def label_distribution(spark, sf_dir):
 
 @query(f"WITH {KEYED}, s AS (SELECT DISTINCT {derived.SPLIT.format(k='doc_id')} AS split, fp FROM k) SELECT split, count(fp) AS keys, sha256(string_agg(fp, chr(10) ORDER BY fp) || chr(10)) AS digest FROM s GROUP BY split")
 def fingerprint_set_digest(spark, sf_dir):
+    """One task sees all keys of a split, as one digest of all asks for; fingerprint_prefix_digest is the form for many."""
     return dataset.set_digest(keyed(spark, sf_dir), "fp", ["split"])
 
 
+@query(f"""WITH {KEYED}, s AS (SELECT DISTINCT {derived.SPLIT.format(k='doc_id')} AS split, fp FROM k), p AS (SELECT split, substr(fp, 1, 3) AS prefix, count(fp) AS n, sha256(string_agg(fp, chr(10) ORDER BY fp) || chr(10)) AS d FROM s GROUP BY 1, 2)
+SELECT split, sum(n)::BIGINT AS keys, sha256(string_agg(d, chr(10) ORDER BY prefix)) AS digest FROM p GROUP BY split""")
+def fingerprint_prefix_digest(spark, sf_dir):
+    return dataset.prefix_digest(keyed(spark, sf_dir), "fp", by=["split"])
+
+
 @query(f"""WITH {KEYED}, s AS (SELECT *, {derived.SPLIT.format(k='doc_id')} AS split FROM k), d AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY fp ORDER BY doc_id) AS p FROM s),
 x AS (SELECT fp FROM s GROUP BY fp HAVING count(DISTINCT split) > 1)
 SELECT 'duplicate_input' AS "check", 3 AS check_ordinal, count(p) AS n FROM d UNION ALL SELECT 'cross_split_leakage', 4, count(*) FROM x""")

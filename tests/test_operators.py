@@ -199,3 +199,37 @@ def test_label_conflicts(spark, tmp_path):
     assert sorted((r.first_id, r.labels, r.rows) for r in got) == [(0, 2, 2), (54, 2, 2)]
     found = {r.check: r.n for r in queries.QUERIES["dataset_violations"](spark, str(tmp_path)).collect()}
     assert found == {"conflicting_labels": 2, "duplicate_input": 4}
+
+
+def test_percentiles_by_ranges(spark, monkeypatch):
+    """No task sorts more than a range, and ranges change no result."""
+    rows = [(None if k % 3 == 0 else f"g{k % 3}", float(k * 7919 % 1009), float(k % 5)) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    shares = [0.0, 0.01, 0.5, 0.95, 1.0]
+
+    def plain(rows):
+        rows = sorted((v, w) for v, w in rows if w > 0)
+        total, out = sum(w for _, w in rows), []
+        for s in shares:
+            run = 0
+            out.append(next(v for v, w in rows if (run := run + w) >= s * total))
+        return out
+
+    monkeypatch.setattr(stats, "PER_RANGE", 16)
+    edges = stats._range_edges(df.select("v").distinct(), "v")
+    assert len(edges) > 30 and max(sum(a <= r[1] < b for r in rows) for a, b in zip(edges, edges[1:])) <= 40
+    got = {r.g: list(r)[1:] for r in stats.weighted_percentile(df, "v", "w", shares, ["g"]).collect()}
+    assert got == {g: plain([(v, w) for x, v, w in rows if x == g]) for g in (None, "g1", "g2")}
+    assert list(stats.weighted_percentile(df, "v", "w", shares).first()) == plain([(v, w) for _, v, w in rows])
+    assert stats.weighted_percentile(df.limit(0), "v", "w", [0.5], empty=0.0).first().p50 == 0
+
+
+def test_prefix_digest(spark):
+    """One gathered value for each prefix, not for each group."""
+    import hashlib
+
+    keys = {s: [hashlib.sha256(f"{s}{n}".encode()).hexdigest() for n in range(50)] for s in "ab"}
+    df = spark.createDataFrame([(s, k) for s, ks in keys.items() for k in [*ks, ks[0]]], "s string, k string")
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {s: digest("\n".join(digest("".join(f"{k}\n" for k in sorted(ks) if k[0] == p)) for p in sorted({k[0] for k in ks}))) for s, ks in keys.items()}
+    assert {r.s: (r["keys"], r.digest) for r in dataset.prefix_digest(df, "k", 1, ["s"]).collect()} == {s: (50, d) for s, d in want.items()}
