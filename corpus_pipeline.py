@@ -31,8 +31,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights; a document comes as often as it is taken, up to three times."""
-    return mixing.mix(docs).select(*COLUMNS)
+    """The mix to target weights, in its shards' shuffled order; a document comes as often as it is taken, up to three times."""
+    return mixing.laid_out(mixing.mix(docs)).select(*COLUMNS)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

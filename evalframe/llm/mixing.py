@@ -155,6 +155,11 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     )
 
 
+def laid_out(mixed: DataFrame) -> DataFrame:
+    """The mix by shards, each in shuffled order."""
+    return mixed.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
+
+
 def write_mix(mixed: DataFrame, path: str) -> None:
     """One folder for each shard, its documents in shuffled order."""
-    mixed.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order").write.partitionBy("mix_shard").parquet(path)
+    laid_out(mixed).write.partitionBy("mix_shard").parquet(path)

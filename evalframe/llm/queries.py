@@ -34,6 +34,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("takes")).alias("taken"))
 
 
+def op3_mix_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the splitting tree puts each copy that op3_mix_sources takes: its shard, and its place in the shard's shuffle."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "mix_copy", "mix_shard", "mix_order")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
@@ -84,7 +89,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op4_toxicity, op5_sentence_pieces, op6_embedding_near_dedup,
+    op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op3_mix_layout, op4_toxicity, op5_sentence_pieces, op6_embedding_near_dedup,
     op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip,
 )}
 

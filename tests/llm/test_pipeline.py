@@ -1,7 +1,7 @@
 """The pipeline's stages, each held against brute force on its own input."""
 
 import corpus_pipeline
-from evalframe.llm import mixing
+from evalframe.llm import mixing, queries
 from tests.llm.test_llm import expected_components, toxic_corpus
 
 
@@ -52,3 +52,13 @@ def test_near_copies_at_80(spark, tmp_path):
     _, root = expected_components(texts, 80)
     assert root == {0: 0, 1: 0, 2: 2, 3: 3} and len(set(expected_components(texts, 85)[1].values())) == 4
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()) == sorted(k for k, v in root.items() if k == v)
+
+
+def test_mix_order(spark, tmp_path):
+    """The mixing stage hands on its copies by shard, in shuffled order, as op3_mix_layout names them."""
+    docs = spark.createDataFrame([(i, f"word {i} " * (1 + i % 5), "en", f"s{i % 4}", 9) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plan = queries.QUERIES["op3_mix_layout"](spark, str(tmp_path)).collect()
+    want = [r.doc_id for r in sorted(plan, key=lambda r: (r.mix_shard, r.mix_order))]
+    assert len({r.mix_shard for r in plan}) > 1 and len({(r.doc_id, r.mix_copy) for r in plan}) == len(plan) > len({r.doc_id for r in plan})
+    assert [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()] == want != sorted(want)
