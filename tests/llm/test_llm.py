@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import math
 import os
 import random
 import re
@@ -314,6 +315,14 @@ def test_near_duplicates(spark, docs, texts):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_filter_keeps_pairs_at_the_threshold(percent):
+    """The exact chance that a pair at the threshold shares so few hashes that the filter drops it."""
+    for on in (64, 80, 100, 128):
+        dropped = np.flatnonzero(~minhash._hopeful(np.arange(on + 1) / on, np.full(on + 1, on), percent))
+        assert len(dropped) and sum(math.comb(on, int(c)) * (percent / 100) ** int(c) * (1 - percent / 100) ** (on - int(c)) for c in dropped) < 1e-8
+
+
 def test_chain_of_near_copies(spark):
     """Neighbours link, ends do not: the star of the smallest id alone would miss it."""
     words = [f"x{i}" for i in range(200)]
