@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .dataset import prefix_digest
 
 
+@F.pandas_udf(StringType())
+def _bare(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+def strip_accents(text: Column) -> Column:
+    """NFKD without combining characters; texts of ASCII alone stay in the JVM."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, text).otherwise(_bare(F.when(~plain, text)))
+
+
 def grams(text: Column) -> Column:
-    """Lower-cased words of two characters and more, and neighbouring pairs."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    """Lower-cased words of two characters and more, without accents, and neighbouring pairs."""
+    found = F.regexp_extract_all(strip_accents(F.lower(F.coalesce(text, F.lit("")))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     fewer = F.greatest(F.size(found) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(found, 1, fewer), F.slice(found, 2, fewer), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(found, pairs)
@@ -28,13 +43,18 @@ class TextBaseline:
 
     @staticmethod
     def _weigh(df: DataFrame, idf: list[float]) -> DataFrame:
-        """1 + ln(count) times idf, to length 1."""
-        damped = df.withColumn("tf", array_to_vector(F.transform(vector_to_array("tf"), lambda t: F.when(t > 0, 1 + F.ln(t)).otherwise(0.0))))
-        scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="scaled").transform(damped)
-        return Normalizer(p=2.0, inputCol="scaled", outputCol="features").transform(scaled).drop("tf", "scaled")
+        """1 + ln(count) times idf, to length 1; vectors stay sparse."""
+        scale = np.array(idf)
+
+        def weigh(tf):
+            at, counts = (tf.indices, tf.values) if isinstance(tf, SparseVector) else (np.flatnonzero(tf.toArray()), tf.toArray()[tf.toArray() > 0])
+            x = (1 + np.log(counts)) * scale[at]
+            return SparseVector(tf.size, at, x / max(np.linalg.norm(x), 1e-300))
+
+        return df.withColumn("features", F.udf(weigh, VectorUDT())("tf")).drop("tf")
 
     @classmethod
-    def fit(cls, df: DataFrame, text: str, label: str, vocabulary: int = 2_000, max_iter: int = 100) -> TextBaseline:
+    def fit(cls, df: DataFrame, text: str, label: str, vocabulary: int = 20_000, max_iter: int = 1_000) -> TextBaseline:
         """Needs two labels at least. identity: prefix_digest of the texts' digests with their labels."""
         rows = df.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), grams(F.col(text)).alias("grams")).where("label IS NOT NULL").persist()
         sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a closed vocabulary

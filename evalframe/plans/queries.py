@@ -433,10 +433,10 @@ def strict_json(spark, sf_dir):
 
 @query()
 def ml_baseline(spark, sf_dir):
-    """Accuracy of the learned baseline on rows that it was not fitted on."""
+    """Labels and predictions of the learned baseline on all labelled rows; held_out tells those that it was not fitted on."""
     from ..operators.baseline import TextBaseline
 
-    rows = docs(spark, sf_dir).select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
-    model = TextBaseline.fit(rows.where("doc_id % 5 <> 0"), "text", "toxic", vocabulary=1000, max_iter=20)
-    scored = model.predict(rows.where("doc_id % 5 = 0").select("doc_id", "text", F.col("toxic").cast("string").alias("toxic")), "text")
-    return scored.groupBy("toxic", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs(spark, sf_dir).select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("string").alias("toxic")), "doc_id")
+    rows = rows.withColumn("held_out", F.col("doc_id") % 5 == 0)
+    model = TextBaseline.fit(rows.where("NOT held_out"), "text", "toxic")
+    return model.predict(rows, "text").groupBy("held_out", "toxic", "predicted_label").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalframe.functions import routing_score, text
-from evalframe.operators import contracts, costs, dataset, inference, judge, regression, routing, scoring, sft, stats
+from evalframe.operators import baseline, contracts, costs, dataset, inference, judge, regression, routing, scoring, sft, stats
 from evalframe.plans import queries
 from evalframe.streaming import telemetry
 
@@ -233,3 +233,16 @@ def test_prefix_digest(spark):
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     want = {s: digest("\n".join(digest("".join(f"{k}\n" for k in sorted(ks) if k[0] == p)) for p in sorted({k[0] for k in ks}))) for s, ks in keys.items()}
     assert {r.s: (r["keys"], r.digest) for r in dataset.prefix_digest(df, "k", 1, ["s"]).collect()} == {s: (50, d) for s, d in want.items()}
+
+
+def test_baseline(spark, tmp_path):
+    """Rare words and accents teach, and every labelled row is scored, held out or not."""
+    rows = [(n, " ".join(f"w{n * 7919 % 2503 + k * k}" for k in range(8)) + (" TÓXIC sign" if n % 5 == 0 and n % 2 else " toxic sign" if n % 2 else " fine end"), n % 2) for n in range(300)]
+    spark.createDataFrame([r[:2] for r in rows] + [(999, "no label")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(n, 1, y) for n, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = {(r.held_out, r.toxic, r.predicted_label): r.n for r in queries.QUERIES["ml_baseline"](spark, str(tmp_path)).collect()}
+    assert found == {(True, "0", "0"): 30, (True, "1", "1"): 30, (False, "0", "0"): 120, (False, "1", "1"): 120}
+    got = spark.createDataFrame([("Élan vital, e\u0301lan Ünï",)], "t string").select(baseline.grams(F.col("t"))).first()[0]
+    assert got == ["elan", "vital", "elan", "uni", "elan vital", "vital elan", "elan uni"]
+    model = baseline.TextBaseline.fit(spark.read.parquet(str(tmp_path / "documents.parquet")).join(spark.read.parquet(str(tmp_path / "labels.parquet")), "doc_id"), "text", "toxic", max_iter=2)
+    assert len(model.counts.vocabulary) > 2000
