@@ -146,6 +146,26 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUB
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 20""",
+    "op7_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(list_transform(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END), lambda i: hash(w[i + 1 : i + 5])))) AS s FROM w),
+u AS MATERIALIZED (SELECT min(doc_id) AS id, s FROM s WHERE len(s) > 0 GROUP BY s),
+x AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS h FROM u),
+p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.h = b.h AND a.id < b.id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared)),
+links AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT id, id AS r FROM u UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a),
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+g AS (SELECT s, component_id FROM u JOIN c USING (id))
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM s LEFT JOIN g ON s.s = g.s""",
+    "op9_substring_dedup": r"""
+WITH w AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM w)),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM x JOIN f USING (h) WHERE first < doc_id GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j - 1))) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id""",
     "op10_warc_round_trip": r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
