@@ -5,6 +5,10 @@ joins HASHES of them into a bucket. Each vector is stored in its own bucket of e
 of its next nearest axes. Vectors that meet in a bucket are compared in double precision; a pair counts only in the
 first bucket where it meets, so link counts need no list of pairs. Equal vectors are one vertex with a count. Buckets of
 many vectors are compared in pairs of blocks, each a task's small matrix product.
+
+Buckets are gone through twice. First only ids and signs meet there: a vector's 128 signed bits under one more rotation
+tell whether some other vector of the bucket may be near enough. Only rows with such a partner fetch their vectors and
+codes and are compared in double precision.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ from pyspark.sql.types import StructField, StructType
 
 from .common import pin, stash
 from .components import connected_components
-from .grouped import groups, matrix
+from .grouped import groups, matrix, whole_groups
 
 TABLES, HASHES, PROBES, BLOCK = 10, 2, 3, 1024
+#: Bits of a vector's signs, and how many standard deviations more of them than expected may differ at the threshold: the
+#: chance to miss a pair there is below 1e-7 by the exact binomial tail, and falls fast above it.
+SIGNS, SLACK = 128, 6
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -66,6 +73,18 @@ def codes(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes:
     return out
 
 
+def signs(unit: np.ndarray, seed: int = 12) -> np.ndarray:
+    """SIGNS bits of each row as two integers: on which side of so many random planes the vector lies."""
+    planes = np.random.default_rng(seed).normal(size=(unit.shape[1], SIGNS)).astype(np.float32)
+    return np.packbits(unit.astype(np.float32) @ planes > 0, axis=1).view(np.int64)
+
+
+def most_unlike(cosine: float) -> int:
+    """Signs that may differ between vectors at this cosine."""
+    share = np.arccos(min(1.0, max(-1.0, cosine))) / np.pi
+    return int(np.ceil(SIGNS * share + SLACK * np.sqrt(SIGNS * share * (1 - share)))) + 1
+
+
 def _first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For rows of codes x and y: the first (table, bucket) where they meet, as table and bucket columns."""
     tables = x.shape[1]
@@ -112,48 +131,72 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             for d in np.unique(lengths):
                 part = batch.take(pa.array(np.flatnonzero(lengths == d)))
                 x = matrix(part.column(2)).astype(np.float64)
-                found = codes(x / np.linalg.norm(x, axis=1)[:, None], tables, hashes, probes)
+                x /= np.linalg.norm(x, axis=1)[:, None]
+                found, side = codes(x, tables, hashes, probes), signs(x)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables * (1 + probes), pa.int32()), pa.array(found.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), flat], names=["id", "n", "vec", "codes"])
+                yield pa.RecordBatch.from_arrays([*part.columns, flat, pa.array(side[:, 0]), pa.array(side[:, 1])], names=[*part.schema.names, "codes", "signs1", "signs2"])
 
-    placed = stash(one.select("id", "n", "vec").mapInArrow(place, StructType([one.schema["id"], one.schema["n"], one.schema["vec"], *StructType.fromDDL("codes array<int>").fields])))
-    dims = F.size("vec").alias("dims")
-    spots = placed.select("id", "n", "vec", "codes", dims, F.posexplode("codes").alias("at", "bucket")).withColumns(
-        {"table": (F.col("at") / (1 + probes)).cast("int"), "stored": F.col("at") % (1 + probes) == 0}
-    )
-    sizes = placed.select(dims, F.posexplode("codes").alias("at", "bucket")).groupBy("dims", (F.col("at") / (1 + probes)).cast("int").alias("table"), "bucket").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("at") % (1 + probes) == 0).alias("stored_rows"),
-    ).where("rows > 1 AND stored_rows > 0").select("dims", "table", "bucket", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
-    rows = (
-        spots.join(sizes, ["dims", "table", "bucket"])
-        .withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("dims", "table", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "stored", "id", "n", "vec", "codes")
-        .repartition("dims", "table", "bucket", "i", "j").sortWithinPartitions("dims", "table", "bucket", "i", "j")
+    placed = stash(one.select("id", "n", "vec").mapInArrow(place, StructType([one.schema["id"], one.schema["n"], one.schema["vec"], *StructType.fromDDL("codes array<int>, signs1 long, signs2 long").fields])))
+    each = 1 + probes
+    spots = placed.select(F.size("vec").alias("dims"), "id", "signs1", "signs2", F.posexplode("codes").alias("at", "code")).select(
+        "dims", (F.floor(F.col("at") / each) * (1 << 40) + F.col("code")).alias("bucket"), (F.col("at") % each == 0).alias("stored"), "id", "signs1", "signs2"
     )
+    crowded = stash(spots.groupBy("dims", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1"))
+
+    def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows sorted by bucket; any two of a bucket meet in one group (dims, bucket, i, j)."""
+        own = rows.join(crowded, ["dims", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        return pairs.select("dims", "bucket", "i", "j", "own", "stored", "id", *columns).repartition("dims", "bucket", "i", "j").sortWithinPartitions("dims", "bucket", "i", "j")
+
+    unlike = most_unlike(cosine)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with another of their bucket whose signs leave hope."""
+        for g in whole_groups(batches, 4):
+            keys = [g.column(c).to_numpy() for c in range(4)]
+            own, stored, *side = (g.column(c).to_numpy() for c in (4, 5, 7, 8))
+            side, across = [x.view(np.uint64) for x in side], keys[2] != keys[3]
+            head = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+            size = np.diff(np.r_[head, g.num_rows])
+            after = np.repeat(head + size, size) - np.arange(g.num_rows) - 1  # rows of the group that follow
+            hope, step, x = np.zeros(g.num_rows, bool), 1, np.flatnonzero(after)
+            while len(x):
+                y = x + step
+                apart = sum(np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) for bits in side)
+                near = (apart <= unlike) & (stored[x] | stored[y]) & (~across[x] | (own[x] != own[y]))
+                hope[x[near]] = hope[y[near]] = True
+                step += 1
+                x = x[after[x] >= step]
+            if hope.any():
+                yield from g.select(["dims", "bucket", "stored", "id"]).filter(pa.array(hope)).to_batches()
+
+    few = dealt(spots, "signs1", "signs2").mapInArrow(sieve, StructType([spots.schema[c] for c in ("dims", "bucket", "stored", "id")])).distinct()
+    rows = dealt(few.join(placed.select("id", "n", "vec", "codes"), "id"), "n", "vec", "codes")
     out_schema = StructType([StructField("id", kind), StructField("root", kind), *StructType.fromDDL("n_links long").fields])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 5):
+        for g in groups(batches, 4):
             if g.num_rows < 2:
                 continue
-            table_no, bucket, i, j = (g.column(k)[0].as_py() for k in range(1, 5))
-            own, stored = g.column(5).to_numpy(), g.column(6).to_numpy()
-            weight, found = g.column(8).to_numpy(), matrix(g.column(10)).astype(np.int64).reshape(g.num_rows, tables, 1 + probes)
-            x = matrix(g.column(9)).astype(np.float64)
+            bucket, i, j = (g.column(k)[0].as_py() for k in range(1, 4))
+            own, stored = g.column(4).to_numpy(), g.column(5).to_numpy()
+            weight, found = g.column(7).to_numpy(), matrix(g.column(9)).astype(np.int64).reshape(g.num_rows, tables, 1 + probes)
+            x = matrix(g.column(8)).astype(np.float64)
             x /= np.linalg.norm(x, axis=1)[:, None]
             hits = np.triu(x @ x.T >= cosine, 1) & (stored[:, None] | stored[None, :])
             if i != j:
                 hits &= own[:, None] != own[None, :]
             a, b = np.nonzero(hits)
             keep = np.concatenate([np.zeros(0, bool), *(
-                _first_meeting(found[a[s : s + 65536]], found[b[s : s + 65536]]) == table_no * (1 << 40) + bucket for s in range(0, len(a), 65536)
+                _first_meeting(found[a[s : s + 65536]], found[b[s : s + 65536]]) == bucket for s in range(0, len(a), 65536)
             )])
             a, b = a[keep], b[keep]
             if not len(a):
                 continue
             links = np.bincount(a, weight[b], g.num_rows) + np.bincount(b, weight[a], g.num_rows)
             root, linked = _local_roots(g.num_rows, a, b), np.flatnonzero(links)
-            ids = g.column(7).combine_chunks()
+            ids = g.column(6).combine_chunks()
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(linked)), ids.take(pa.array(root[linked])), pa.array(links[linked].astype(np.int64))], names=["id", "root", "n_links"])
 
     partial = pin(rows.mapInArrow(compare, out_schema))
