@@ -9,6 +9,7 @@ the window of each training document that scores highest, which is how a documen
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,7 +212,10 @@ def evidence(holds: np.ndarray, toxic: int, clean: int) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network | None:
-    """Fit by about so many steps of Adam on the highest window of each text. None without texts of both labels."""
+    """Fit by about so many steps of Adam on the highest window of each text, five times at least. None without texts of both labels.
+
+    A pass over few texts is one step, so the number of passes is bounded by steps, however few the texts.
+    """
     place: dict[bytes, int] = {}
     numbers, label = [], []
     for t, y in zip(texts, labels, strict=True):
@@ -249,7 +253,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48,
         row[: len(numbers[k][s : s + WINDOW])] = numbers[k][s : s + WINDOW]
     balance = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())).astype(np.float32)
     rng, moments, step = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}, 0
-    epochs = max(5, round(steps * batch / len(label)))
+    epochs = max(5, round(steps / max(1, len(label) / batch)))
     for epoch in range(epochs):
         if epoch:
             gates = net.table(vocabulary)
@@ -290,10 +294,11 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48,
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1000, max_bytes: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """At most per_label texts of each label, by a hash order of their ids, none above max_bytes.
+def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = 1000, max_bytes: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(text, label) of at most per_label texts of each label, by a hash order of their ids, none above max_bytes, in one sorted partition.
 
-    Never rows with crc32(id as text) mod 4 = 2, which are held out. Ids with both labels are left out.
+    Never rows with crc32(id as text) mod 4 = 2, which are held out. Ids with both labels are left out, so are null ids,
+    labels other than 0 and 1, null and empty texts. Repeated rows of one id teach once (any of its texts).
     """
     sizes = docs.select(id_col, F.octet_length(text_col).alias("bytes")).where(F.col("bytes").between(1, max_bytes)).select(id_col)
     marked = (
@@ -302,8 +307,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1000, max
     )
     mixed = hash60(F.lit("toxicity"), id_col)
     chosen = marked.where("label = 1").orderBy(mixed, id_col).limit(per_label).unionByName(marked.where("label = 0").orderBy(mixed, id_col).limit(per_label))
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).collect()  # 2 * per_label at most
-    return [(r[text_col], int(r["label"])) for r in sorted(rows, key=lambda r: str(r[id_col])) if r[text_col]]
+    rows = docs.select(id_col, F.col(text_col).alias("text")).where(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(chosen), id_col).dropDuplicates([id_col])  # 2 * per_label at most
+    return rows.repartition(1).sortWithinPartitions(F.col(id_col).cast("string")).select("text", F.col("label").cast("int").alias("label"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, **how) -> list[tuple[str, int]]:
+    """training_sample as a list."""
+    return [(r["text"], r["label"]) for r in training_sample(docs, labels, **how).collect()]
+
+
+def fit_in_task(sample: DataFrame) -> Network | None:
+    """fit over a bounded sample in one task, so that only the parameters, about a megabyte, reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, labels))], pa.binary())], names=["network"])
+
+    found = sample.mapInArrow(run, "network binary").collect()
+    return pickle.loads(found[0]["network"]) if found else None
 
 
 def score(docs: DataFrame, network: Network | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -327,6 +351,10 @@ def score(docs: DataFrame, network: Network | None, text_col: str = "text", scor
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", score_col: str = "score", **bounds: int) -> DataFrame:
-    """Fit on a bounded sample of labelled rows, then score every row of docs."""
-    rows = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **bounds)
-    return score(docs, fit([t for t, _ in rows], [y for _, y in rows]), text_col, score_col)
+    """Fit on a bounded sample of labelled rows, then score every row of docs.
+
+    Every row comes out as often as it came in, also with a null id. Null texts and those without any letter score 0,
+    and so does everything where the sample lacks one of the labels or is empty.
+    """
+    sample = training_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **bounds)
+    return score(docs, fit_in_task(sample), text_col, score_col)
