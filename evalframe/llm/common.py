@@ -31,9 +31,25 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one: what operators write between their steps."""
+    return f"{shared_dir(spark).rstrip('/')}/evalframe-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that operators have written between their steps. Only once no DataFrame that they returned is needed any more."""
+    remove(spark, scratch_dir(spark))
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: compressed, columnar, and safe when executors go."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/evalframe-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """(id, version, site, pos, line_key) of each line with something on it; version tells rows of one id apart."""
@@ -28,14 +30,15 @@ def boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     An estimate within band of min_sites is replaced by an exact distinct count (exact = true). With lg_k = 12 the
     sketch's standard error is 1.6 %, so the band is over 10 standard errors wide. Null sites are no site.
-    first_id, first_pos: the smallest id, then place, that shows the line.
+    first_id, first_pos: the smallest id, then place, that shows the line. Lines that may be flagged are written to the
+    shared folder, so that sketches are made once and Spark knows the table's size when it joins lines with it.
     """
     lines = _lines(docs, id_col, text_col, site_col)
     spread = lines.groupBy("line_key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"),
         F.min(F.struct("id", "pos")).alias("first"),
     )
-    candidates = spread.where(F.col("estimate") >= min_sites * (1 - band))
+    candidates = stash(spread.where(F.col("estimate") >= min_sites * (1 - band)))
     near = candidates.where(F.col("estimate") <= min_sites * (1 + band)).select("line_key")
     counted = (
         lines.join(near, "line_key", "left_semi").select("line_key", "site").where("site IS NOT NULL").distinct()
@@ -59,7 +62,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     flagged = boilerplate_lines(docs, id_col, text_col, site_col, min_sites, lg_k, band)
     lines = _lines(docs, id_col, text_col, site_col).select("id", "version", "pos", "line_key")
-    hit = lines.join(flagged, "line_key")
+    hit = lines.join(stash(flagged.select("line_key", "first_id", "first_pos")), "line_key")
     if keep_first:
         hit = hit.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
     gone = hit.groupBy(F.col("id").alias("__ef_id"), F.col("version").alias("__ef_version")).agg(F.collect_set("pos").alias("__ef_gone"))
