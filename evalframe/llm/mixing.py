@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import hash60, n_words, pin
 
-#: Blocks of the whole corpus; a source of a third of all words has a third of them.
-BLOCKS = 4096
+#: Blocks of the whole corpus; a source of a third of all words has a third of them. A small source has LEAST_BLOCKS.
+BLOCKS, LEAST_BLOCKS = 4096, 64
+#: Sources whose counts are drawn in one array; more are drawn group by group.
+GROUP = 256
 
 
 def source_targets(sizes: DataFrame, source_col: str = "source", size_col: str = "source_size", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -79,19 +81,24 @@ def _split_left(seed: int) -> str:
 def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """Split exact quotas (place, q: long, one row a source) among shards 0 .. shards-1: (shard, place, q).
 
-    For each source the shards' counts add up to its quota, and each shard gets its share of all blocks, rounded. One
-    row for each tree node with an array of one entry a source: memory follows the number of sources, not the corpus.
+    For each source the shards' counts add up to its quota, and each shard gets its share of all blocks, rounded. At each
+    node a draw over groups of GROUP sources comes first, then one within each group
+    for what the group got, which is the same distribution; so an array holds one entry a group, or one a group's source.
     """
+    entry = F.struct("place", F.col("q").cast("long").alias("q"))
     nodes = (
-        quotas.select(F.struct("place", F.col("q").cast("long").alias("q")).alias("e"))
-        .agg(F.array_sort(F.collect_list("e")).alias("quotas")).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quotas")
+        quotas.select(F.floor((F.col("place") - 1) / GROUP).cast("int").alias("group"), entry.alias("e"))
+        .groupBy("group").agg(F.array_sort(F.collect_list("e")).alias("quotas")).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "group", "quotas")
     )
     for _ in range(max(0, math.ceil(math.log2(shards)))):
         sized = nodes.withColumn("mid", F.expr("(lo + hi) div 2").cast("int")).withColumn("total", F.expr("aggregate(quotas, 0L, (b, e) -> b + e.q)"))
-        sized = sized.withColumn("cap_left", F.expr("cast((total * (mid - lo) + (hi - lo) div 2) div (hi - lo) AS bigint)"))
-        both = pin(sized.withColumn("go_left", F.expr(_split_left(seed))).select("lo", "mid", "hi", "quotas", "go_left"))
-        left = both.select("lo", F.col("mid").alias("hi"), F.expr("transform(quotas, (e, i) -> named_struct('place', e.place, 'q', go_left[i]))").alias("quotas"))
-        right = both.select(F.col("mid").alias("lo"), "hi", F.expr("transform(quotas, (e, i) -> named_struct('place', e.place, 'q', e.q - go_left[i]))").alias("quotas"))
+        # group numbers below 0 keep the groups' random numbers apart from the sources'
+        above = sized.groupBy("lo", "mid", "hi").agg(F.array_sort(F.collect_list(F.struct((-1 - F.col("group")).alias("place"), F.col("total").alias("q")))).alias("quotas"), F.sum("total").alias("total"))
+        above = above.withColumn("cap_left", F.expr("cast((total * (mid - lo) + (hi - lo) div 2) div (hi - lo) AS bigint)")).withColumn("got", F.expr(_split_left(seed)))
+        caps = above.select("lo", "hi", F.explode(F.arrays_zip(F.col("quotas.place").alias("place"), F.col("got").alias("got"))).alias("x")).select("lo", "hi", (-1 - F.col("x.place")).alias("group"), F.col("x.got").alias("cap_left"))
+        both = pin(sized.join(caps, ["lo", "hi", "group"]).withColumn("go_left", F.expr(_split_left(seed))).select("lo", "mid", "hi", "group", "quotas", "go_left"))
+        left = both.select("lo", F.col("mid").alias("hi"), "group", F.expr("transform(quotas, (e, i) -> named_struct('place', e.place, 'q', go_left[i]))").alias("quotas"))
+        right = both.select(F.col("mid").alias("lo"), "hi", "group", F.expr("transform(quotas, (e, i) -> named_struct('place', e.place, 'q', e.q - go_left[i]))").alias("quotas"))
         nodes = left.where("hi > lo").unionByName(right)  # a single shard passes on as its own right half
     return nodes.select(F.col("lo").alias("shard"), F.explode("quotas").alias("e")).select("shard", "e.place", "e.q")
 
@@ -100,7 +107,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """docs plus size, source_size, target and takes (array of copy and shard: one entry for each time the mix takes it).
 
     size: a document's size, by default its number of words (null text: 0). Each source's taken size differs from its
-    target by half a block at most (a block holds about 1 / blocks of the corpus, or one document if that is more); no
+    target by half a block at most (a block holds about 1 / blocks of the corpus or 1 / 64 of its source, whichever is less,
+    or one document if that is more); no
     document is taken more than max_epochs times. The same input gives the same mix. A null source is a source, last in
     order; a null id is dealt like any other. Repeated rows of one id share a block. Columns of the added names are replaced.
     """
@@ -108,7 +116,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sized = base.withColumns({"size": n_words(text_col) if size is None else size, "__ef_source": F.col(source_col)})
     sources = source_targets(sized.groupBy("__ef_source").agg(F.sum("size").alias("source_size")), "__ef_source", weights=weights, max_epochs=max_epochs)
     per_block = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(blocks)))
-    sources = pin(sources.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_block)).cast("long")))
+    sources = pin(sources.withColumn("n_blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / per_block)).cast("long")))
     few = sources.count() <= 100_000
     small = F.broadcast if few else (lambda x: x)
     place = sources.select(F.col("__ef_source").alias("__ef_s"), F.col("place").alias("__ef_place"), "source_size", "target", F.col("n_blocks").alias("__ef_n"))
@@ -144,7 +152,11 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with mix_shard, mix_copy and mix_order (a local shuffle key)."""
+    """The mix itself: each document as often as it is taken, with mix_shard, mix_copy and mix_order (a local shuffle key).
+
+    Documents that are not taken are absent, null and empty texts too where their block is not; repeated rows of one id
+    are taken alike, and share mix_order. Columns of the added names are replaced, other columns stay.
+    """
     id_col, seed = how.get("id_col", "doc_id"), how.get("seed", 7)
     plan = plan_mix(docs.drop("mix_shard", "mix_copy", "mix_order"), **how)
     kept = [c for c in plan.columns if c not in ("size", "source_size", "target", "takes") or c in docs.columns]
@@ -161,5 +173,5 @@ def laid_out(mixed: DataFrame) -> DataFrame:
 
 
 def write_mix(mixed: DataFrame, path: str) -> None:
-    """One folder for each shard, its documents in shuffled order."""
+    """One folder for each shard, its documents in shuffled order. An empty mix writes no shard."""
     laid_out(mixed).write.partitionBy("mix_shard").parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import uuid
 
 from . import embedding_dedup, line_dedup, minhash, mixing, pieces, sharding, substring_dedup, topk, toxicity, warc
-from .common import shared_dir, table
+from .common import scratch_dir, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +74,9 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest, size and type come from the archives; a response's payload is hashed again as read."""
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
-    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")  # a null id comes back null
     full = warc.read_warc(spark, path).where("record_type = 'response'").select(
         number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"),
@@ -123,7 +123,7 @@ v AS (SELECT *, (total - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(weight) OV
 f AS (SELECT *, cap > level * weight AS free FROM v),
 water AS (SELECT arg_min(level, (cap / weight, place)) AS x FROM f WHERE free),
 g AS (SELECT source, place, source_size, CASE WHEN free THEN x * weight ELSE cap::DOUBLE END AS target,
-  greatest(1, ceil(source_size / greatest(1, ceil(total / 4096))))::BIGINT AS nb FROM f, water),
+  greatest(64, ceil(source_size / greatest(1, ceil(total / 4096))))::BIGINT AS nb FROM f, water),
 e AS (SELECT d.*, g.place, g.source_size, g.target, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % nb AS block
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 b AS (SELECT place, block, sum(size)::BIGINT AS words, any_value(target) AS target, any_value(source_size) AS source_size FROM e GROUP BY place, block),
