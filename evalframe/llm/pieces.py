@@ -5,12 +5,15 @@ the text; the path of pieces with the highest sum of scores wins, on equal sums
 no piece covers falls back to its UTF-8 bytes. No piece holds a mark after another character, so a best path can be
 cut before each mark that follows another character, and at characters that no piece holds. Texts are cut there, and
 all chunks that a task has not seen are solved at once: the search moves over positions, in numpy, for all of them.
+Where few chunks are of like length, as words of many thousand characters are, each is searched alone in linear time.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO_CHUNKS, MEMO_CHARS = 200_000, 1 << 22
 #: Rows, and bytes of their texts, that a task works on at once (a longer text goes alone); cells of a search table.
 ROWS, BYTES, CELLS = 256, 1 << 20, 1 << 19
+#: Chunks of like length from which on they are searched together, and bytes of a single chunk whose pieces are found at once.
+FEW, STRETCH = 48, 1 << 16
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -165,16 +170,64 @@ class Encoder:
             reach = max(16, 2 * int(lengths[order[at]]))
             end = min(np.searchsorted(lengths[order], reach, side="right"), at + max(1, CELLS // reach))
             part = order[at:end]
-            for i, ids in zip(part, self._viterbi([chunks[i] for i in part], lengths[part]), strict=True):
+            few = len(part) < FEW and int(lengths[part[0]]) > 0
+            found = map(self._alone, (chunks[i] for i in part)) if few else self._viterbi([chunks[i] for i in part], lengths[part])
+            for i, ids in zip(part, found, strict=True):
                 out[i] = ids
             at = end
         return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
+    def _alone(self, chunk: bytes) -> np.ndarray:
+        """Ids of one chunk in time that grows with its length: all pieces of a stretch are found at once, then one pass over its bytes."""
+        v, n = self.v, len(chunk)
+        text = np.frombuffer(chunk, np.uint8).astype(np.int32)
+        heads = np.select([text < 0x80, text < 0xC0, text < 0xE0, text < 0xF0], [1, 0, 2, 3], 4)
+        unknown, no = float(v.unknown_score), -math.inf
+        best, back, piece = array("d", [no]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for begin in range(0, n, STRETCH):
+            first = np.flatnonzero(heads[begin : begin + STRETCH]) + begin
+            walk, state, depth, hits = first, np.zeros(len(first), np.int32), 0, []
+            while len(walk):
+                inside = walk + depth < n
+                walk, state = walk[inside], state[inside]
+                nxt = v.base[state] + text[walk + depth] + 1
+                ok = v.check[nxt] == state
+                walk, state, depth = walk[ok], nxt[ok], depth + 1
+                hit = v.value[state]
+                hits.append((walk[hit >= 0], np.full(int((hit >= 0).sum()), depth), hit[hit >= 0]))
+            start, size, hit = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 3
+            order = np.argsort(start, kind="stable")  # by start, then by size
+            start, size, hit = start[order], size[order], hit[order]
+            edges = np.searchsorted(start, first).tolist() + [len(start)]
+            size, hit, score = size.tolist(), hit.tolist(), v.scores[hit].tolist()
+            for i, low, high, head in zip(first.tolist(), edges[:-1], edges[1:], heads[first].tolist(), strict=True):
+                here, alone = best[i], False
+                for m in range(low, high):
+                    to, total = i + size[m], here + score[m]
+                    if total > best[to]:
+                        best[to], back[to], piece[to] = total, i, hit[m]
+                    alone = alone or size[m] == head
+                to = i + head
+                if not alone and here + unknown > best[to]:
+                    best[to], back[to], piece[to] = here + unknown, i, -1
+        ids, end = [], n
+        while end:
+            start, hit = back[end], piece[end]
+            if hit >= 0:
+                ids.append(int(v.ids[hit]))
+            elif v.has_bytes:
+                ids.extend(int(v.byte_ids[b]) for b in reversed(chunk[start:end]))
+            elif not ids or ids[-1] != v.unknown:  # unknown characters in a row are one piece
+                ids.append(v.unknown)
+            end = start
+        return np.array(ids[::-1], np.int32)
+
     def _viterbi(self, chunks: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
         v, n, width = self.v, len(chunks), int(lengths.max())
         text = np.zeros((n, width), np.int32)
         text[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(chunks), np.uint8)
-        best, back, piece = np.full((n, width + 1), -np.inf, np.float32), np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
+        best, back, piece = np.full((n, width + 1), -np.inf), np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
         best[:, 0] = 0
         heads = np.select([text < 0x80, text < 0xC0, text < 0xE0, text < 0xF0], [1, 0, 2, 3], 4)  # bytes of the character that starts here
         for i in range(width):
