@@ -8,7 +8,9 @@ Documents with equal sets are one vertex from the start, so copies never meet ea
 document with the smallest id is confirmed against all others first. Lists whose documents then still lie in several
 components are compared across components, in blocks inside tasks: sketches first, in the first list that a pair
 shares, then full sets of the documents whose sketches leave hope. Tasks hand on documents and the links that join
-components, never pairs, so what is shuffled grows with the lists' lengths and no link between components is lost.
+components, never pairs; each row of a list of m documents is sent to as many tasks as the list has blocks (m / BLOCK).
+A link is missed only if none of its LISTS neighbouring pairs is shared or its sketches lie SLACK standard errors below
+the threshold; each has a chance below 1e-8 for a pair at the threshold.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .wordhash import BASES, Powers, Runs, WordHashes
 SKETCH, LISTS = 64, 24
 #: Documents of an inverted list that are compared at once, by sketches and by texts.
 BLOCK, TEXTS = 1024, 256
+#: Standard errors below the threshold from which on a pair's sketches rule it out.
+SLACK = 7
 
 
 def shingle_set(text: str | None, width: int, words: WordHashes, powers: Powers) -> np.ndarray:
@@ -45,22 +49,22 @@ def shingle_set(text: str | None, width: int, words: WordHashes, powers: Powers)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int = 5, k: int = SKETCH) -> DataFrame:
-    """(id, n_shingles, set_digest, sketch): sketch holds the k smallest hashes in order, set_digest 128 bits of the whole set."""
-    schema = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL("n_shingles long, set_digest binary, sketch array<long>").fields])
+    """(id, version, n_shingles, set_digest, sketch): sketch holds the k smallest hashes in order, set_digest 128 bits of the whole set, version 64 of the text."""
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL("version long, n_shingles long, set_digest binary, sketch array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, powers = WordHashes(), Powers(BASES[0])
         for batch in batches:
             counts, digests, kept = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingle_set(text.as_py(), width, words, powers)
                 counts.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 kept.append(found[:k])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *kept])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), text_col).mapInArrow(run, schema)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -114,12 +118,12 @@ def _estimates(x: np.ndarray, x_size: int, many: np.ndarray, sizes: np.ndarray,
 
 
 def _hopeful(est: np.ndarray, on: np.ndarray, percent: int) -> np.ndarray:
-    """Whether an estimate lies at most 7 standard errors below the threshold; exact where it rests on whole sets.
+    """Whether an estimate lies at most SLACK standard errors below the threshold; exact where it rests on whole sets.
 
     On 64 hashes and more, a pair at a threshold of 0.8 or 0.85 falls below with a chance under 1e-8 (binomial tail).
     """
     p = percent / 100
-    return est >= p - 7 * np.sqrt(p * (1 - p) / np.maximum(on, 1))
+    return est >= p - SLACK * np.sqrt(p * (1 - p) / np.maximum(on, 1))
 
 
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -209,13 +213,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when 100 * intersection >= percent * union of their sets of distinct runs of width words; a text of
     fewer words is one shingle; a null text or one without words has none and links with nothing. component_id is the
     smallest id reachable, kept tells whether that is the row itself. Repeated rows of one id stay one vertex and come
-    out as often as they came in; ids must not be null for linking (a null id is returned with itself as component).
-    Extra columns are not looked at.
+    out as often as they came in. Of different texts under one id, the one with the smallest hash links for the id; the
+    others get the component of equal sets, or their own id. A null id links with nothing: its component is null, and it
+    is kept. Extra columns are not looked at.
     """
     sketches = stash(sketch(docs, id_col, text_col, width, k))
+    repeated = stash(sketches.where("id IS NOT NULL").groupBy("id").agg(F.min("version").alias("chosen"), F.max("version").alias("last")).where("chosen < last").select("id", "chosen"))
+    one_text = lambda d: d.join(repeated, "id", "left").where("chosen IS NULL OR chosen = version").drop("chosen")
     # Members of a group have equal sets, so any of them stands for the sketch.
     sets = stash(
-        sketches.where("n_shingles > 0 AND id IS NOT NULL").groupBy("set_digest")
+        one_text(sketches.where("n_shingles > 0 AND id IS NOT NULL")).groupBy("set_digest")
         .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
     keys = sets.where("n_shingles > 1").select(
@@ -226,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).select("id", "n_shingles", "pair.*")
     shared = keys.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.max("id").alias("last")).where("first.id < last").drop("last")
     listed = stash(keys.join(shared, "key"))
-    docs_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs_in = one_text(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))).select("id", "text")
     texts = stash(docs_in.join(listed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
 
     star = listed.where("id <> first.id").where(
@@ -240,11 +247,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = connected_components(links.unionByName(found))
 
     of_set = sets.select("set_digest", F.col("id").alias("first")).join(labels.withColumnRenamed("id", "first"), "first", "left").select("set_digest", F.coalesce("component_id", "first").alias("component_id"))
-    out = sketches.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_digest")).alias("set_digest")).join(of_set, "set_digest", "left")
+    out = sketches.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("set_digest")).alias("set_digest")).join(of_set, "set_digest", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows that near_duplicates does not keep; all columns stay."""
+    """docs without the rows that near_duplicates does not keep; all columns stay, and so do rows with a null id or no words.
+
+    Rows of one id stay or go together.
+    """
     gone = near_duplicates(docs, id_col, text_col, **how).where("NOT kept").select(F.col(id_col).alias("__ef_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__ef_gone"], "left_anti")

@@ -23,6 +23,8 @@ END = "\r\n\r\n"
 #: Columns of the source and the headers that they come from.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Bytes", "refers_to": "WARC-Refers-To", "content_length": "Content-Length"}
 NUMBERS = ("payload_bytes", "content_length")
+#: What a compressed file counts as, against plain bytes, when files are dealt into partitions.
+INFLATED = 8
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 100) -> DataFrame:
@@ -50,7 +52,11 @@ def _clean(value) -> F.Column:
 
 
 def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 50_000, compression: str = "gzip") -> None:
-    """Write planned records as WARC/1.0 files under path, compressed unless compression is none. Revisits carry headers only."""
+    """Write planned records as WARC/1.0 files under path, compressed unless compression is none. Revisits carry headers only.
+
+    Header values stay on one line: control characters become spaces. A null id or url is an empty value; no records
+    give a folder without any; repeated records are written as often as they come.
+    """
     body = F.when(F.col("record_type") == "revisit", "").otherwise(F.col("payload"))
     lines = [
         F.lit("WARC/1.0"),
@@ -141,6 +147,7 @@ class WarcReader(DataSourceReader):
         found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(top, recursive=True)) if f.is_file and not f.base_name.startswith(("_", ".")))
         parts, size = [[]], 0
         for path, n in found:
+            n *= INFLATED if path.endswith(".gz") else 1
             if parts[-1] and size + n > self.target:
                 parts.append([])
                 size = 0
@@ -172,7 +179,11 @@ class WarcSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records under path. Turns on the session's filter pushdown to Python sources, so that later filters reach the reader."""
+    """Records under path. Turns on the session's filter pushdown to Python sources, so that later filters reach the reader.
+
+    payload is null with payload=False and empty bytes where a record has none. Headers that a record lacks are null.
+    A file that ends within a record or does not start with one raises an error.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
