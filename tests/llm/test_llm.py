@@ -398,3 +398,215 @@ def test_warc(spark, tmp_path):
         assert [r.payload for r in one.collect()] == [None]
     warc.write_warc(warc.plan_records(df.limit(0)), str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+# Odd rows: null ids, different texts under one id, very long words and texts, few labels
+
+
+def test_near_duplicates_odd_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (1, base), (2, base + " end"), (3, "alone one two three four five six"), (3, base + " other end"), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):
+        got = minhash.near_duplicates(df).collect()
+        assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] and len(got) == len(rows)
+        assert {(r.component_id, r.kept) for r in got if r.doc_id == 2} == {(1, False)} and {r.component_id for r in got if r.doc_id == 4} == {4}
+    assert {r.doc_id for r in minhash.drop_near_duplicates(df).collect()} >= {None, 1, 4}
+
+
+def test_passages_of_long_and_odd_rows(spark):
+    rng = random.Random(8)
+    long_text = " ".join(rng.choice(["a", "b", "cc"]) for _ in range(30_000))
+    words = long_text.split()
+    rows = [(1, long_text), (2, "x " + " ".join(words[20_000:20_100]) + " y"), (3, "same " * 400), (4, "same " * 70), (5, " ".join(words[:49])), (6, "p q " * 60), (7, "q p " * 40), (None, long_text), (8, "z " * 60), (8, "x " + " ".join(words[5:70]))]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 30_000, 0), (2, 102, 100), (3, 400, 0), (4, 70, 70), (5, 49, 0), (6, 120, 0), (7, 80, 80), (None, 30_000, 0), (8, 60, 0), (8, 66, 65)], key=str)
+
+
+@pytest.mark.parametrize("window", [3, 12, 13, 14, 20, 51])
+def test_passages_of_other_windows(spark, window):
+    rng = random.Random(window)
+    texts = {k: " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 120))) for k in range(30)}
+    texts |= {100 + k: texts[k][10:] + " z " + texts[k + 1][:80] for k in range(20)}
+    seen, want = {}, {}
+    for k in sorted(texts):
+        w = texts[k].split()
+        own = [tuple(w[i : i + window]) for i in range(len(w) - window + 1)]
+        gone = {j for i, x in enumerate(own) if x in seen for j in range(i, i + window)}
+        for x in own:
+            seen.setdefault(x, k)
+        want[k] = (len(w), len(gone), " ".join(a for i, a in enumerate(w) if i not in gone))
+    got = rows_of(substring_dedup.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), window=window), "doc_id")
+    assert {k: (r.n_words, r.n_removed, r.kept_text) for k, r in got.items()} == want
+
+
+def test_top_k_null_ids_and_depth(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 3000)] + 0.2 * rng.normal(size=(3000, 16))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(None, [1.0] * 16), (20, None), (41, [1.0, 2.0]), (60_000, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 20 = 0 OR vec_id IS NULL"), k=20, query_block=64, candidate_block=1024, with_depth=True).collect()
+    assert not any(r.query_id is None or r.vec_id is None for r in got) and [(r.vec_id, r.score) for r in got if r.query_id == 60_000] == [(41, 64 * 128 + 128 * 64)]
+    depth = {r.query_id: r.read for r in got if r.query_id < 3000}
+    assert len(depth) == 150 and sum(d < 0.9 for d in depth.values()) > 140  # most searches stop well before the end of the lists
+    whole = np.floor(64 * x).astype(np.int64)
+    for q in (0, 1500, 2980):
+        s = whole @ whole[q]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, -v) for v, i in sorted((-int(s[c]), c) for c in range(3000) if c != q)[:20]]
+
+
+def test_top_k_ties_go_to_smaller_ids(spark):
+    df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(60)] + [(7, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = topk.top_k(df, df.where("vec_id = 20"), k=5).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+
+
+def test_recall_at_the_threshold():
+    """Pairs at a cosine of exactly 0.9: both filters, buckets and signs, let nearly all pass."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    other = rng.normal(size=x.shape)
+    other -= (other * x).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * other / np.linalg.norm(other, axis=1)[:, None]
+    meet = embedding_dedup._first_meeting(embedding_dedup.codes(x), embedding_dedup.codes(y)) < np.iinfo(np.int64).max
+    apart = np.bitwise_count(embedding_dedup.signs(x).view(np.uint64) ^ embedding_dedup.signs(y).view(np.uint64)).sum(1)
+    assert meet.mean() > 0.999 and (apart <= embedding_dedup.most_unlike(0.9)).all()
+    share, most = math.acos(0.9) / math.pi, embedding_dedup.most_unlike(0.9)
+    assert sum(math.comb(128, i) * share**i * (1 - share) ** (128 - i) for i in range(most + 1, 129)) < 1e-7
+
+
+def test_many_links_and_null_ids_of_vectors(spark):
+    """A crowd in one bucket is compared in blocks; a null id is a vector like any other."""
+    rng = np.random.default_rng(6)
+    crowd = np.r_[1.0, np.zeros(15)] + 0.03 * rng.normal(size=(1500, 16))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(crowd)] + [(None, [0.0, -1.0] + [0.0] * 14)]
+    got = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 1501 and {(r.n_links, r.component_id) for r in got if r.vec_id is not None} == {(1499, 0)} and [(r.n_links, r.component_id) for r in got if r.vec_id is None] == [(0, None)]
+
+
+def test_warc_null_ids(spark, tmp_path):
+    from evalframe.llm import queries
+
+    page = "<html>" + "x" * 200
+    df = spark.createDataFrame([(None, "u", page), (5, "u", page), (None, None, None), (7, "v", "short")], "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op10_warc_round_trip"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("5", "response", None), ("7", "response", None), ("None", "response", None), ("None", "revisit", 5)]
+
+
+def test_few_labels_end_soon():
+    import time
+
+    start = time.time()
+    net = toxicity.fit(["bad word here", "good word there", "fine day"], [1, 0, 0])
+    assert net is not None and time.time() - start < 60
+
+
+def test_scores_equal_a_plain_loop():
+    """The batched scorer against one window after the other, each gate and attention weight written out."""
+    rows = toxic_corpus(60)
+    net = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows], steps=30)
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def plain(text):
+        words, best = toxicity.words_of(text), -np.inf
+        x = net.inputs(words).astype(np.float64)
+        for s in toxicity.windows_of(len(words)):
+            places, states = list(range(s, min(len(words), s + toxicity.WINDOW))), {}
+            for way in "fb":
+                state = np.zeros(h)
+                for t in places if way == "f" else places[::-1]:
+                    gx, gh = x[t] @ p[f"x{way}"] + p[f"b{way}"], state @ p[f"h{way}"]
+                    z, r = sigmoid(gx[:h] + gh[:h]), sigmoid(gx[h : 2 * h] + gh[h : 2 * h])
+                    state = (1 - z) * np.tanh(gx[2 * h :] + r * gh[2 * h :]) + z * state
+                    states[way, t] = state
+            both = [np.concatenate([states["f", t], states["b", t]]) for t in places]
+            look = np.exp([v @ p["look"] for v in both])
+            best = max(best, sum(a * v for a, v in zip(look / look.sum(), both, strict=True)) @ p["out"] + p["bias"][0])
+        return float(sigmoid(best))
+
+    texts = [t for _, t, _ in rows[:6]] + ["word " * 150]
+    got = toxicity.Scorer(net).scores(texts)
+    assert got == pytest.approx([plain(t) for t in texts], abs=1e-4)
+
+
+def test_pieces_byte_fallback_against_plain_search(vocabulary):
+    """Sums of scores with unknown characters and double spaces: every piece path as good as the plain search's."""
+    rng = random.Random(4)
+    encoder = pieces.Encoder(vocabulary)
+    scores = {int(i): float(s) for i, s in zip(vocabulary.ids, vocabulary.scores)}
+    lost = set(vocabulary.byte_ids.tolist())
+
+    def total(ids):
+        value, run = 0.0, bytearray()
+        for i in [*ids.tolist(), None]:
+            if i in lost and i not in scores:
+                run += vocabulary.bytes_of[i]
+                continue
+            value += len(run.decode()) * float(vocabulary.unknown_score)
+            run.clear()
+            value += scores[i] if i is not None else 0
+        return value
+
+    for _ in range(120):
+        t = "".join(rng.choice("ab the on  \x01é日😀𓀀ſ") for _ in range(rng.randint(1, 60)))
+        assert total(encoder.encode([t])[0]) == pytest.approx(slow_viterbi(vocabulary, t))
+    word = "lang" * 20_000 + "𓀀" + "é" * 3000
+    ids = encoder.encode([word])[0]
+    assert pieces.decode_ids(vocabulary, ids) == word
+    chunks = [("▁" + "".join(rng.choice("abtheonzé日😀") for _ in range(rng.randint(1, 40)))).encode() for _ in range(200)]
+    together = encoder._viterbi(chunks, np.array([len(c) for c in chunks]))
+    assert all(np.array_equal(encoder._alone(c), x) for c, x in zip(chunks, together, strict=True))
+
+
+def test_exact_band_of_line_counts(spark):
+    """Lines with many more sites than the threshold are flagged by the sketch alone."""
+    rows = [(i, f"everywhere\nown {i}\n" + ("near" if i < 10 else "far"), f"s{i}") for i in range(60)] + [(100, None, None), (101, "near " * 20_000, "s1")]
+    flagged = line_dedup.boilerplate_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=10).collect()
+    assert sorted((r.exact, r.sites > 10) for r in flagged) == [(False, True), (False, True), (True, False)]
+
+
+def test_mix_of_very_long_and_repeated_rows(spark):
+    rows = [(1, "w " * 50_000, "big"), (2, "a b c", "small"), (2, "a b c", "small"), (None, "d e", None), (3, None, "none"), (4, "", "none")]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(plan) == len(rows) and {(r.doc_id, r["size"]) for r in plan} == {(1, 50_000), (2, 3), (None, 2), (3, 0), (4, 0)}
+    assert all(len(r.takes) <= 3 for r in plan) and len({tuple(t.shard for t in r.takes) for r in plan if r.doc_id == 2}) == 1
+
+
+def test_many_small_sources_meet_their_targets(spark):
+    """Sources below a block of the corpus are cut into blocks of their own; more sources than a group of the tree holds."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 9), f"host{i % 300:03}") for i in range(9000)] + [(9000 + i, "w " * 400, "large") for i in range(200)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target, largest = {}, {}, {}
+    for r in plan:
+        taken[r.source] = taken.get(r.source, 0) + r["size"] * len(r.takes)
+        target[r.source], largest[r.source] = r.target, max(largest.get(r.source, 0), r["size"])
+    assert len(target) == 301 and all(abs(taken[s] - target[s]) <= 0.5 * target[s] / 20 + 3 * largest[s] for s in target)
+    by_shard = {}
+    for r in plan:
+        for t in r.takes:
+            by_shard[t.shard] = by_shard.get(t.shard, 0) + 1
+    assert len(by_shard) == 16 and max(by_shard.values()) < 1.6 * min(by_shard.values())
+
+
+def test_quota_tree_over_groups(spark):
+    quotas = spark.createDataFrame([(i, i % 9) for i in range(1, 701)], "place int, q long")
+    got = mixing.split_quotas(quotas, 16, 3).collect()
+    table = np.zeros((16, 700))
+    for r in got:
+        table[r.shard, r.place - 1] += r.q
+    assert table.sum(0).tolist() == [i % 9 for i in range(1, 701)] and (table >= 0).all() and set(table.sum(1)) <= {table.sum() // 16, table.sum() // 16 + 1}
+    assert np.corrcoef(table[0], table[1])[0, 1] < 0.99
+
+
+def test_scratch_is_cleared(spark):
+    from evalframe.llm import common
+
+    kept = common.stash(spark.range(5))
+    assert kept.count() == 5 and os.path.isdir(common.scratch_dir(spark).removeprefix("file://"))
+    common.clear_scratch(spark)
+    assert not os.path.isdir(common.scratch_dir(spark).removeprefix("file://"))
