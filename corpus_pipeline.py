@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import line_dedup, minhash, mixing, pieces, toxicity
-from evalframe.llm.common import shared_dir, table
+from evalframe.llm.common import remove, scratch_dir, table
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -54,12 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; what stands between them lies in the shared folder."""
+    """Apply all stages to documents; what stands between them lies in the shared folder until the next stage is written."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for number, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if number == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{folder}/{number}-{name}")
-        docs = spark.read.parquet(f"{folder}/{number}-{name}")
+        path = f"{folder}/{number}-{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
