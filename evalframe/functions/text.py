@@ -41,6 +41,23 @@ def normalize_text(text: Column | str, fold: bool = False) -> Column:
     return F.when(simple, fast).otherwise((_nfkc_fold if fold else _nfkc)(F.when(~simple, text)))
 
 
+#: Joins texts for one normalising call: a character of private use, which NFKC and case folding leave alone.
+_SEAM = "\uE000"
+
+
+def normalize_items(items: Column | str, fold: bool = False) -> Column:
+    """normalize_text of each entry of an array of texts; null entries go, a null array stays null.
+
+    Arrays of simple texts stay in the JVM; others are joined, normalised in one call and split again.
+    """
+    items = F.filter(_col(items), lambda x: x.isNotNull())
+    simple = F.forall(items, lambda x: x.rlike(STABLE))
+    plain = lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss")) if fold else x
+    fast = F.transform(items, lambda x: F.btrim(F.regexp_replace(plain(x), r"[\t\n\x0B\f\r\x1C-\x20]+", " ")))
+    joined = F.when(~simple, F.array_join(items, _SEAM))
+    return F.when(simple, fast).otherwise(F.transform(F.split((_nfkc_fold if fold else _nfkc)(joined), _SEAM), lambda x: F.btrim(x)))
+
+
 def canonical_json(**fields: Column | str) -> Column:
     """A JSON object with sorted keys, no spaces and nulls kept."""
     return F.to_json(F.struct(*(_col(fields[k]).alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
@@ -56,10 +73,10 @@ def fingerprint(*texts: tuple[str, Column | str]) -> Column:
 
 
 def label_fingerprint(evidence: Column | str | None = None, **labels: Column | str) -> Column:
-    """Digest of a label: evidence is normalised and sorted, so its order plays no part."""
+    """Digest of a label: evidence is normalised, case-folded and sorted, so its order and spelling play no part."""
     if evidence is None:
         return canonical_sha256(**labels)
-    return canonical_sha256(evidence=F.array_sort(F.transform(_col(evidence), lambda x: F.lower(F.btrim(F.regexp_replace(x, r"\s+", " "))))), **labels)
+    return canonical_sha256(evidence=F.array_sort(normalize_items(evidence, fold=True)), **labels)
 
 
 def contains_literal(text: Column, snippet: Column) -> Column:
@@ -74,9 +91,13 @@ def evidence_items(value: Column | str, is_array: bool = True) -> Column:
 
 
 def evidence_counts(evidence: Column, text: Column) -> Column:
-    """struct(total, grounded, unsupported); text and evidence entries must be normalised alike."""
+    """struct(total, grounded, unsupported); text and evidence entries must be normalised alike.
+
+    The text enters the comparison as an array, because a normalised text may come from a Python function, which no
+    lambda may hold.
+    """
     items = evidence_items(evidence)
-    grounded = F.size(F.filter(items, lambda x: contains_literal(text, x)))
+    grounded = F.size(F.filter(F.zip_with(items, F.array_repeat(text, F.size(items)), lambda x, t: contains_literal(t, x)), lambda ok: ok))
     return F.struct(F.size(items).alias("total"), grounded.alias("grounded"), (F.size(items) - grounded).alias("unsupported"))
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from ..functions.text import contains_literal, normalize_text, unsafe_controls
+from ..functions.text import contains_literal, normalize_items, normalize_text, unsafe_controls
+from .dataset import conflicts, duplicates, full_diff, prefix_digest
 
 #: Fixed values of the ticket contract: closed vocabularies in declaration order.
 VOCABULARY = {
@@ -62,7 +67,7 @@ class Contract:
         out = {name: get(name).isin(labels) for name, labels in self.vocabulary.items()}
         if self.evidence:
             items = get(self.evidence)
-            same = F.transform(items, lambda x: F.lower(F.btrim(F.regexp_replace(x, r"\s+", " "))))
+            same = normalize_items(items, fold=True)
             out[self.evidence] = F.size(items).between(1, self.max_evidence) & F.forall(items, lambda x: length_between(x, *LENGTHS["evidence"])) & (F.size(F.array_distinct(same)) == F.size(items))
         if self.score:
             s = get(self.score)
@@ -102,14 +107,41 @@ def check_raw_prediction(raw: Column | str, contract: Contract) -> Column:
     return F.when(v.isNull(), F.array(F.lit("not_json_object"))).otherwise(F.concat(broken(keys=same), broken(**rules)))
 
 
+def _fits(gold, given) -> bool:
+    """Whether a JSON value has the gold value's shape, all the way down; arrays follow the gold array's first entry."""
+    if isinstance(gold, dict):
+        return isinstance(given, dict) and gold.keys() == given.keys() and all(_fits(v, given[k]) for k, v in gold.items())
+    if isinstance(gold, list):
+        return isinstance(given, list) and (not gold or all(_fits(gold[0], x) for x in given))
+    if isinstance(gold, float):
+        return isinstance(given, (int, float)) and not isinstance(given, bool) and math.isfinite(given)
+    return type(gold) is type(given)
+
+
+@F.pandas_udf(BooleanType())
+def _shapes_fit(gold: pd.Series, given: pd.Series) -> pd.Series:
+    return pd.Series([g is not None and p is not None and _fits(json.loads(g), json.loads(p)) for g, p in zip(gold, given, strict=True)])
+
+
 def same_shape(gold: Column, prediction: Column, extra: str = "confidence") -> Column:
-    """Whether a VARIANT object has the gold object's keys (extra may be added) and the same JSON type for each."""
-    as_map = lambda v: v.cast("map<string,variant>")
-    kind = lambda v: F.regexp_replace(F.schema_of_variant(v), r"^(DECIMAL.*|DOUBLE|FLOAT)$", "NUMBER")
+    """Whether a VARIANT object has the gold object's keys and JSON types, nested ones included.
+
+    Only extra may be added, a finite number within 0 and 1 or null. A fraction in gold accepts any number, a whole
+    number only whole ones. Whatever is null is unlike everything. Only rows whose keys agree but whose values
+    have another type than gold's reach the Python check of nested values.
+    """
+    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
     keys = F.array_sort(F.map_keys(as_map(gold)))
     given = F.array_sort(F.filter(F.map_keys(as_map(prediction)), lambda k: F.array_contains(keys, k) | (k != extra)))
-    fits = F.forall(keys, lambda k: F.coalesce((kind(as_map(gold)[k]) == kind(as_map(prediction)[k])) | ((kind(as_map(gold)[k]) == "NUMBER") & (kind(as_map(prediction)[k]) == "BIGINT")), F.lit(False)))
-    return F.coalesce((keys == given) & fits, F.lit(False))
+    sure = F.try_variant_get(prediction, f"$.{extra}", "variant")
+    number = F.schema_of_variant(sure).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & F.try_variant_get(prediction, f"$.{extra}", "double").between(0.0, 1.0)
+    sure_fits = F.array_contains(keys, extra) | sure.isNull() | (F.schema_of_variant(sure) == "VOID") | number
+    alike = F.schema_of_variant(gold) == F.schema_of_variant(prediction)
+    flat = alike & ~F.schema_of_variant(gold).contains("VARIANT")
+    ask = (keys == given) & ~F.coalesce(flat, F.lit(False))
+    own = lambda v: F.to_json(F.map_filter(as_map(v), lambda k, _: F.array_contains(keys, k)))
+    nested = _shapes_fit(F.when(ask, own(gold)), F.when(ask, own(prediction)))
+    return F.coalesce((keys == given) & F.coalesce(sure_fits, F.lit(False)) & F.coalesce(flat | nested, F.lit(False)), F.lit(False))
 
 
 def example_contract(split: str, robustness: str, subject: str, body: str, evidence: str) -> Column:
@@ -117,7 +149,7 @@ def example_contract(split: str, robustness: str, subject: str, body: str, evide
     text = normalize_text(F.concat_ws("\n", subject, body))
     return broken(
         robustness=(F.col(split) == "adversarial").eqNullSafe(F.col(robustness).isNotNull()) & (F.col(robustness).isNull() | F.col(robustness).isin(ROBUSTNESS)),
-        evidence=F.forall(evidence, lambda x: contains_literal(text, F.btrim(F.regexp_replace(x, r"\s+", " ")))),
+        evidence=F.forall(F.zip_with(evidence, F.array_repeat(text, F.size(evidence)), lambda x, t: contains_literal(t, F.btrim(F.regexp_replace(x, r"\s+", " ")))), lambda ok: ok),
     )
 
 
@@ -127,7 +159,7 @@ def manifest_violations(manifest: DataFrame, vocabulary: DataFrame, total: int)
     twice = splits.groupBy("split").count().where("count > 1").select(F.lit("split_repeated").alias("check"), F.col("split").alias("key"))
     path = splits.where(~F.col("file").rlike(r"^(?!/)(?!.*(^|/)\.\.(/|$))[A-Za-z0-9._/-]+$")).select(F.lit("unsafe_path").alias("check"), F.col("file").alias("key"))
     sums = manifest.groupBy("split", "field").agg(F.sum("n").alias("n"), F.max("count").alias("count")).where("n <> count").select(F.lit("distribution_sum").alias("check"), F.concat_ws(".", "split", "field").alias("key"))
-    gaps = manifest.select("split").distinct().crossJoin(F.broadcast(vocabulary)).join(manifest, ["split", "field", "label"], "left_anti").select(F.lit("label_missing").alias("check"), F.concat_ws(".", "split", "field", "label").alias("key"))
+    gaps = manifest.select("split").distinct().crossJoin(vocabulary).join(manifest, ["split", "field", "label"], "left_anti").select(F.lit("label_missing").alias("check"), F.concat_ws(".", "split", "field", "label").alias("key"))
     whole = splits.agg(F.sum("count").alias("n")).where(~F.col("n").eqNullSafe(F.lit(total))).select(F.lit("total").alias("check"), F.col("n").cast("string").alias("key"))
     return twice.unionByName(path).unionByName(sums).unionByName(gaps).unionByName(whole)
 
@@ -146,6 +178,33 @@ def load_for(df: DataFrame, split: str, purpose: str, split_col: str = "split")
     return df.where(F.col(split_col) == split)
 
 
+def verified_split(examples: DataFrame, manifest: DataFrame, split: str, purpose: str, id_col: str, key: str, label_key: str, fields: list[str], split_col: str = "split") -> tuple[DataFrame, DataFrame]:
+    """(rows of a split for a purpose, violations as check_ordinal, check, detail) against a manifest in long form.
+
+    manifest: (split, count, digest, field, label, n), digest being prefix_digest of the keys. Checks run in this order, and
+    the smallest ordinal is the first error: 0 no such split, 1 conflicting labels, 2 repeated keys, 3 count, 4 digest,
+    5 label distribution. Labels that occur on one side only differ as well; rows
+    without a label count in none. A purpose that may not read the split raises.
+    """
+    rows = load_for(examples, split, purpose, split_col)
+    declared = manifest.where(F.col("split") == split)
+    problem = lambda n, name, d, detail: d.select(F.lit(n).alias("check_ordinal"), F.lit(name).alias("check"), detail.cast("string").alias("detail"))
+    head = declared.agg(F.max("count").alias("count"), F.max("digest").alias("digest"))
+    counted = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(head)  # one row each
+    digest = prefix_digest(rows, key).select(F.col("digest").alias("actual")).crossJoin(head)
+    shares = rows.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("label")) for f in fields))).alias("x")).select("x.*").where("label IS NOT NULL").groupBy("field", "label").agg(F.count(F.lit(1)).alias("n"))
+    differ = full_diff(declared.where("n > 0").select("field", "label", "n"), shares, ["field", "label"], "n")
+    found = (
+        problem(0, "split_missing", head.where("count IS NULL"), F.lit(split))
+        .unionByName(problem(1, "conflicting_labels", conflicts(rows, key, label_key, id_col), F.col("first_id")))
+        .unionByName(problem(2, "duplicate_input", duplicates(rows, key, id_col), F.col("id")))
+        .unionByName(problem(3, "count", counted.where("n <> count"), F.col("n")))
+        .unionByName(problem(4, "fingerprint_digest", digest.where("actual <> digest"), F.col("actual")))
+        .unionByName(problem(5, "label_distribution", differ, F.concat_ws(".", "field", "label")))
+    )
+    return rows, found
+
+
 def pricing_contract(input_price: str, output_price: str, source: str, as_of: str) -> Column:
     """A price above zero needs its source and date; source and date come together."""
     both = F.col(source).isNotNull() & F.col(as_of).isNotNull()

@@ -35,7 +35,7 @@ def label_distribution(df: DataFrame, vocabulary: DataFrame, fields: list[str],
     counts = long.groupBy(*by, "field", "label").agg(F.count(F.lit(1)).alias("n"))
     frame = vocabulary.select("field", "label")
     if by:
-        frame = df.select(*by).distinct().crossJoin(F.broadcast(frame))  # groups times a closed vocabulary
+        frame = df.select(*by).distinct().crossJoin(frame)  # groups times a closed vocabulary
     return frame.join(counts, [*by, "field", "label"], "left").select(*by, "field", "label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -136,3 +136,9 @@ def noise_plan(df: DataFrame, id_col: str, label_col: str, labels: list[str], fr
 def limited(df: DataFrame, id_col: str, n: int | None) -> tuple[DataFrame, Column]:
     """The first n rows by id and whether that leaves rows out."""
     return (df, F.lit(False)) if n is None else (df.orderBy(id_col).limit(n), F.lit(df.count() > n))
+
+
+def plan_digest(plan: DataFrame) -> DataFrame:
+    """(keys, digest) of a label-noise plan: a digest of digests over its rows, whatever their order."""
+    row = F.sha2(F.to_json(F.struct("corrupted", F.col("id").cast("string").alias("id"), "original")), 256)
+    return prefix_digest(plan.select(row.alias("k")), "k")

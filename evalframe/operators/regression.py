@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Identity fields that must agree.
@@ -28,7 +28,7 @@ def apply_policy(metrics: DataFrame, policy: DataFrame, missing_fails: bool = Tr
     """
     scopes = metrics.select("scope").distinct()
     absent = policy.join(scopes, "scope", "left_anti").select("scope").distinct().select(F.lit("slice_missing").alias("code"), "scope", F.lit("slice").alias("metric"), F.lit(None).cast("double").alias("actual"), F.lit(None).cast("double").alias("threshold"))
-    joined = F.broadcast(policy).join(scopes, "scope", "left_semi").join(metrics, ["scope", "metric"], "left")  # a policy is a short list
+    joined = policy.join(scopes, "scope", "left_semi").join(metrics, ["scope", "metric"], "left")
     value, limit = F.col("value"), F.col("threshold")
     code = F.when(value.isNull(), F.lit("metric_missing") if missing_fails else F.lit(None)).when((F.col("op") == "min") & (value < limit), "floor_failed").when((F.col("op") == "max") & (value > limit), "ceiling_failed")
     return joined.select(code.alias("code"), "scope", "metric", value.alias("actual"), limit.alias("threshold")).where("code IS NOT NULL").unionByName(absent)
@@ -37,7 +37,7 @@ def apply_policy(metrics: DataFrame, policy: DataFrame, missing_fails: bool = Tr
 def relative_drops(baseline: DataFrame, candidate: DataFrame, allowed: DataFrame, missing_fails: bool = True) -> DataFrame:
     """Violations of allowed drops (metric, max_drop) between overall metrics of two runs."""
     b, c = baseline.where("scope = 'ALL'").select("metric", F.col("value").alias("before")), candidate.where("scope = 'ALL'").select("metric", F.col("value").alias("after"))
-    joined = b.join(c, "metric", "full").join(F.broadcast(allowed), "metric")
+    joined = b.join(c, "metric", "full").join(allowed, "metric")
     drop = F.col("before") - F.col("after")
     code = F.when(drop.isNull(), F.lit("metric_missing") if missing_fails else F.lit(None)).when(drop > F.col("max_drop"), "regression")
     return joined.select(code.alias("code"), F.lit("ALL").alias("scope"), "metric", drop.alias("actual"), F.col("max_drop").alias("threshold")).where("code IS NOT NULL")
@@ -57,3 +57,24 @@ def verdict(identity: DataFrame, violations: DataFrame) -> DataFrame:
     both = i.crossJoin(v)  # one row each
     status = F.when(F.col("differences") > 0, "incomparable").when(F.col("violations") > 0, "fail").otherwise("pass")
     return both.select(status.alias("status"), "differences", F.when(F.col("differences") == 0, F.col("violations")).otherwise(0).alias("violations"))
+
+
+def gate_stored_runs(spark: SparkSession, baseline: str, candidate: str, policy: DataFrame, metrics: list[str], allowed: DataFrame | None = None, fields: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdict, violations) over two stored runs, which are read, never evaluated again.
+
+    A stored run is a folder with the tables identity (one row) and report (scope and metrics in columns), as store_run
+    writes them. One folder cannot be compared with itself.
+    """
+    if baseline.rstrip("/") == candidate.rstrip("/"):
+        raise ValueError("baseline and candidate must be two runs")
+    b, c = ({t: spark.read.parquet(f"{path.rstrip('/')}/{t}") for t in ("identity", "report")} for path in (baseline, candidate))
+    found = apply_policy(long_metrics(c["report"], metrics), policy)
+    if allowed is not None:
+        found = found.unionByName(relative_drops(long_metrics(b["report"], metrics), long_metrics(c["report"], metrics), allowed))
+    return verdict(compare_identities(b["identity"], c["identity"], fields), found), found
+
+
+def store_run(identity: DataFrame, report: DataFrame, path: str) -> None:
+    """Write a run's identity and report once."""
+    for name, df in (("identity", identity), ("report", report)):
+        df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/{name}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import ratio
+from .stats import weighted_percentile
 
 
 def pair_runs(gold: DataFrame, student: DataFrame, frontier: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -69,8 +70,17 @@ def quality_cost(swept: DataFrame) -> DataFrame:
     return swept.where("scope = 'ALL'").select("threshold", (F.col("exact_match_rate") * (1 - F.col("error_rate"))).alias("quality"), "avg_cost_usd", "frontier_share")
 
 
-def source_comparability(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def latency_tail(decided: DataFrame, slice_col: str | None = None, share: float = 0.95, weight: str = "weight") -> DataFrame:
+    """(threshold, scope, p<share>): the weighted percentile of latency beside sweep's averages."""
+    scopes = F.array(F.lit("ALL"), *([F.col(slice_col).cast("string")] if slice_col else []))
+    rows = decided.select("threshold", "latency_ms", weight, F.explode(scopes).alias("scope"))
+    return weighted_percentile(rows, "latency_ms", weight, [share], ["threshold", "scope"])
+
+
+def source_differences(sources: DataFrame, name: str, fields: list[str]) -> DataFrame:
+    """(field, sources, values) of facts that the runs behind a sweep do not share; null is a value of its own."""
+    long = sources.select(name, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("null")).alias("value")) for f in fields))).alias("x")).select(name, "x.*")
+    return long.groupBy("field").agg(F.countDistinct(name).alias("sources"), F.array_sort(F.collect_set("value")).alias("values")).where(F.size("values") > 1)
 
 
 def best_point(points: DataFrame, budget: float | None = None) -> DataFrame:

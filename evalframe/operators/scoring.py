@@ -101,7 +101,7 @@ def per_class(matrix: DataFrame, labels: DataFrame | None = None, by: list[str]
     )).alias("x")).select(*by, "x.*")
     sums = sides.groupBy(*by, "label").agg(F.sum("support").cast("double").alias("support"), F.sum("predicted").alias("predicted"), F.sum("correct").alias("correct"))
     if labels is not None:
-        frame = matrix.select(*by).distinct().crossJoin(F.broadcast(labels.select("label"))) if by else labels.select("label")
+        frame = matrix.select(*by).distinct().crossJoin(labels.select("label")) if by else labels.select("label")
         sums = frame.join(sums, [*by, "label"], "full").fillna(0.0, ["support", "predicted", "correct"])
     zero = lambda a, b: F.coalesce(ratio(a, b), F.lit(0.0))
     return sums.withColumns({"precision": zero(F.col("correct"), F.col("predicted")), "recall": zero(F.col("correct"), F.col("support"))}).withColumn(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dataset import prefix_digest
+
 #: The label of a token that is not learned from.
 IGNORE = -100
 
@@ -22,6 +24,33 @@ def render(messages: Column) -> tuple[Column, Column]:
     return prompt, F.element_at(messages, -1)["content"]
 
 
+def load_prompt(text: str, version: str, placeholders: tuple[str, str] = ("{ticket_json}", "{schema_json}"), markers: tuple[str, str] = ("\nSYSTEM:\n", "\nUSER:\n")) -> tuple[str, str]:
+    """(system, user template) of a prompt file: a version line, then a system and a user part, each placeholder once in the latter."""
+    head, _, rest = text.partition(markers[0])
+    system, found, template = rest.partition(markers[1])
+    if not found or head.strip() != f"version: {version}":
+        raise ValueError(f"no prompt of version {version}")
+    if any(template.count(p) != 1 for p in placeholders):
+        raise ValueError("each placeholder must stand once in the user part")
+    return system.strip(), template.strip()
+
+
+def chat(system: str, template: str, record: Column, schema: str, answer: Column | None = None, placeholders: tuple[str, str] = ("{ticket_json}", "{schema_json}")) -> Column:
+    """Messages (role, content): trusted instructions, then the untrusted record (canonical JSON) and the schema in their template.
+
+    answer, a record's canonical JSON, is the assistant's turn of a supervised example. The template is split at its
+    placeholders first, so text of the record that looks like a placeholder stays as it is.
+    """
+    before, after = template.split(placeholders[0])
+    if placeholders[1] in before:
+        parts = [*map(F.lit, (before.replace(placeholders[1], schema),)), record, F.lit(after)]
+    else:
+        parts = [F.lit(before), record, F.lit(after.replace(placeholders[1], schema))]
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    turns = [turn("system", F.lit(system)), turn("user", F.concat(*parts))]
+    return F.array(*turns, *([turn("assistant", answer)] if answer is not None else []))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
@@ -52,6 +81,11 @@ def row_digests(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(id_col, F.sha2(F.to_json(F.struct("tokens", "labels")), 256).alias("row_sha256"))
 
 
+def corpus_digest(df: DataFrame, id_col: str) -> DataFrame:
+    """(keys, digest): a digest of digests over row_digests, whatever the order of rows."""
+    return prefix_digest(row_digests(df, id_col), "row_sha256")
+
+
 def pad_batches(df: DataFrame, order_col: str, batch_size: int, pad_id: int, multiple: int = 8, groups: str | None = None) -> DataFrame:
     """Right-pad tokens and labels to their batch's longest, rounded up to a multiple.
 

@@ -33,17 +33,30 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg(ratio(F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("accuracy"))), total).alias("ece"), total.alias("n"))
 
 
-def risk_coverage(obs: DataFrame, digits: int | None = 4) -> DataFrame:
-    """(score, accepted, coverage, risk) for falling thresholds; equal scores are one point.
+def running_sums(points: DataFrame, value: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """points plus before_<c> and all_<c>: the sum of c over rows with a smaller (descending: larger) value, and over all.
 
-    Scores are rounded to digits first, so at most 10**digits + 1 rows reach the running sum.
+    One row a value. Values are dealt into ranges of about PER_RANGE; ranges' totals give each its offset, so no task
+    sorts more than a range. There are at most 1,001 ranges, which is what is broadcast.
     """
+    edges = F.array(*map(F.lit, _range_edges(points, value)))
+    dealt = points.withColumn("__ef_part", F.size(F.filter(edges, lambda e: e <= F.col(value))))
+    way = (lambda c: F.desc(c)) if descending else F.asc
+    totals = dealt.groupBy("__ef_part").agg(*(F.sum(c).alias(f"__ef_{c}") for c in columns))
+    up_to, every = Window.orderBy(way("__ef_part")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = totals.select("__ef_part", *(F.coalesce(F.sum(f"__ef_{c}").over(up_to), F.lit(0)).alias(f"__ef_before_{c}") for c in columns), *(F.sum(f"__ef_{c}").over(every).alias(f"all_{c}") for c in columns))
+    inside = Window.partitionBy("__ef_part").orderBy(way(value)).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(totals), "__ef_part")
+    return out.select(*points.columns, *((F.col(f"__ef_before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"before_{c}") for c in columns), *(f"all_{c}" for c in columns))
+
+
+def risk_coverage(obs: DataFrame, digits: int | None = None) -> DataFrame:
+    """(score, accepted, coverage, risk) for falling thresholds; equal scores are one point. digits rounds scores first."""
     score = F.round("score", digits) if digits is not None else F.col("score")
     points = obs.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("good"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return points.select("score", F.sum("n").over(down).alias("accepted"), F.sum("good").over(down).alias("right"), F.sum("n").over(every).alias("total")).select(
-        "score", "accepted", (F.col("accepted") / F.col("total")).alias("coverage"), (1 - F.col("right") / F.col("accepted")).alias("risk")
+    accepted = F.col("before_n") + F.col("n")
+    return running_sums(points, "score", ["n", "good"], descending=True).select(
+        "score", accepted.alias("accepted"), (accepted / F.col("all_n")).alias("coverage"), (1 - (F.col("before_good") + F.col("good")) / accepted).alias("risk")
     )
 
 
@@ -57,10 +70,9 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, rank_col: str) -> DataFrame:
-    """df plus the average rank of value. Ranks come from counts of distinct values, which alone reach the running sum."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(value, (before + (F.col("n") + 1) / 2).alias(rank_col)), value)
+    """df plus the average rank of value (a number), from running sums of the counts of distinct values."""
+    counts = running_sums(df.groupBy(value).agg(F.count(F.lit(1)).alias("n")), value, ["n"])
+    return df.join(counts.select(value, (F.col("before_n") + (F.col("n") + 1) / 2).alias(rank_col)), value)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routing_score, text
 from ..operators import contracts, costs, dataset, judge, regression, routing, scoring, sft, stats
+from ..sources.shared import new_folder
 from ..streaming import telemetry
 from . import derived
 from .derived import ITEMS_SQL, items, table
@@ -349,17 +350,14 @@ def telemetry_windows(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT date_trunc('day', ts) AS window_start, model_selected, {RATES} FROM e GROUP BY 1, 2")
 def streaming_telemetry(spark, sf_dir):
-    """The same rollup by Structured Streaming over the events file, to the end of its input."""
-    import uuid
-
+    """The same rollup by Structured Streaming over the events file, to the end of its input, kept in a table in the shared folder."""
     folder = sf_dir.rstrip("/").replace("file://", "")
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder) if not _is_dir(spark, sf_dir) else spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
-    name = f"t{uuid.uuid4().hex}"
+    target, state = new_folder(spark, "rollup"), new_folder(spark, "state")
     rows = source.selectExpr("CAST(ts AS TIMESTAMP) AS timestamp", "event_type AS model_selected", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status", "event_id % 4 = 0 AS fallback", "event_id % 50 = 0 AS schema_failure", "value AS latency_ms", "CAST(event_id % 1000 AS DOUBLE) / 1000000 AS estimated_cost_usd")
-    running = telemetry.rollup(rows, "1 day").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    out = spark.table(name)
-    return out.drop("window_end", "p50_latency_ms", "p95_latency_ms").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    whole = lambda batch, _: batch.write.mode("overwrite").parquet(target)  # noqa: E731  (each batch has the whole result so far)
+    telemetry.rollup(rows, "1 day").writeStream.foreachBatch(whole).option("checkpointLocation", state).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).drop("window_end", "p50_latency_ms", "p95_latency_ms").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _is_dir(spark: SparkSession, sf_dir: str) -> bool:

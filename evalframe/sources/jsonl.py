@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,19 +52,26 @@ def write_canonical_jsonl(df: DataFrame, path: str, order_by: str | None = None)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below path."""
+    """(path, bytes, sha256) of every file below path. A file is one value, so it must be below 2 GB."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _below(path: str):
+    """A file's path below a folder, from Spark's full path of the file."""
+    root = (urlparse(path).path or path).rstrip("/")
+    return F.split("path", rf"\Q{root}/\E", 2)[1]
+
+
 def write_evidence_index(spark: SparkSession, path: str, index: str) -> None:
-    """Lines of digest, two spaces and name."""
-    file_digests(spark, path).select(F.concat("sha256", F.lit("  "), F.substring_index("path", "/", -1)).alias("value")).orderBy("value").write.mode("errorifexists").text(index)
+    """Lines of digest, two spaces and the path below the folder, by path."""
+    found = file_digests(spark, path).select(_below(path).alias("name"), "sha256")
+    found.orderBy("name").select(F.concat("sha256", F.lit("  "), "name").alias("value")).write.mode("errorifexists").text(index)
 
 
 def verify_evidence_index(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """Files that are missing, extra or changed against an index."""
+    """Files that are missing, extra or changed against an index: (name, status, declared, actual)."""
     declared = spark.read.text(index).select(F.substring("value", 67, 1_000_000).alias("name"), F.substring("value", 1, 64).alias("sha256"))
-    return full_diff(declared, file_digests(spark, path).select(F.substring_index("path", "/", -1).alias("name"), "sha256"), ["name"], "sha256")
+    return full_diff(declared, file_digests(spark, path).select(_below(path).alias("name"), "sha256"), ["name"], "sha256")
 
 
 def publish(df: DataFrame, path: str) -> str:
