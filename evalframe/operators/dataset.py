@@ -9,13 +9,13 @@ from ..functions.text import contains_literal, normalize_text
 
 
 def duplicates(df: DataFrame, key: str, id_col: str, order: list[str] | None = None) -> DataFrame:
-    """Rows whose key came before, with the row before and the first one: (key, id, previous_id, first_id)."""
+    """Rows whose key came before, with the row before and the first one: (key, id, previous_id, first_id).
+
+    One shuffle by key and one evaluation of df, whose key may come from a costly expression. A null key repeats nothing.
+    """
     seen = Window.partitionBy(key).orderBy(*(order or [id_col]))
-    many = df.groupBy(key).count().where("count > 1").select(key)  # only repeated keys reach the window
-    return (
-        df.join(many, key).select(key, F.col(id_col).alias("id"), F.lag(id_col).over(seen).alias("previous_id"), F.first(id_col).over(seen).alias("first_id"))
-        .where(F.col("previous_id").isNotNull())
-    )
+    placed = df.where(F.col(key).isNotNull()).select(key, F.col(id_col).alias("id"), F.lag(id_col).over(seen).alias("previous_id"), F.first(id_col).over(seen).alias("first_id"))
+    return placed.where(F.col("previous_id").isNotNull())
 
 
 def conflicts(df: DataFrame, key: str, label_key: str, id_col: str) -> DataFrame:
@@ -76,12 +76,12 @@ def containment(docs: DataFrame, items: DataFrame, run: int = 8) -> DataFrame:
     word and the start of the next one, a single word among the parts of words that have its length.
     """
     split = lambda d, i: d.select(i, normalize_text("text", fold=True).alias("body")).where("body <> ''").withColumn("w", F.split("body", " "))
-    gram = lambda w, at, n: F.array_join(F.slice(w, at, n), " ")
+    gram = lambda w, at, n: F.xxhash64(F.slice(w, at, n))  # noqa: E731  (runs of words travel as hashes; whole texts are compared at the end)
     steps = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), f)
     d = split(docs, "doc_id")
     inner = F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(run))
     size = lambda at: F.when(inner == 0, F.char_length(F.element_at("w", at))).otherwise(0)
-    known = split(items, "item_id").select("item_id", F.col("body").alias("item"), inner.alias("n"), F.when(F.size("w") == 1, 0).otherwise(size(1)).alias("left"), size(-1).alias("right"), F.when(inner > 0, gram(F.col("w"), 2, inner)).otherwise(F.col("body")).alias("g"))
+    known = split(items, "item_id").select("item_id", F.col("body").alias("item"), inner.alias("n"), F.when(F.size("w") == 1, 0).otherwise(size(1)).alias("left"), size(-1).alias("right"), F.when(inner > 0, gram(F.col("w"), 2, inner)).otherwise(F.xxhash64("body")).alias("g"))
     shapes = known.select("n", "left", "right").distinct().collect()  # runs of 1 to run words; lengths of words in items of one or two
     words = F.col("w")
     found = None
@@ -89,11 +89,11 @@ def containment(docs: DataFrame, items: DataFrame, run: int = 8) -> DataFrame:
         if n:
             made = d.select("doc_id", F.explode(F.array_distinct(steps(F.size("w") - n + 1, lambda i: gram(words, i, n)))).alias("g"))
         elif left:
-            ends = lambda i: F.when((F.char_length(F.get(words, i - 1)) >= left) & (F.char_length(F.get(words, i)) >= right), F.concat(F.right(F.get(words, i - 1), F.lit(left)), F.lit(" "), F.left(F.get(words, i), F.lit(right))))
+            ends = lambda i: F.when((F.char_length(F.get(words, i - 1)) >= left) & (F.char_length(F.get(words, i)) >= right), F.xxhash64(F.concat(F.right(F.get(words, i - 1), F.lit(left)), F.lit(" "), F.left(F.get(words, i), F.lit(right)))))
             made = d.select("doc_id", F.explode(F.array_distinct(F.array_compact(steps(F.size("w") - 1, ends)))).alias("g"))
         else:
             each = d.select("doc_id", F.explode(F.array_distinct("w")).alias("x"))
-            made = each.select("doc_id", F.explode(steps(F.char_length("x") - right + 1, lambda i: F.substring(F.col("x"), i, F.lit(right)))).alias("g")).distinct()
+            made = each.select("doc_id", F.explode(steps(F.char_length("x") - right + 1, lambda i: F.xxhash64(F.substring(F.col("x"), i, F.lit(right))))).alias("g")).distinct()
         hits = made.join(known.where((F.col("n") == n) & (F.col("left") == left) & (F.col("right") == right)), "g").select("doc_id", "item_id", "item")
         found = hits if found is None else found.unionByName(hits)
     if found is None:

@@ -601,3 +601,97 @@ def split_measurement(spark, sf_dir):
     labels = spark.createDataFrame([("0",), ("1",)], "label string")
     rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select(F.expr(SPLIT.format(k="doc_id")).alias("split"), F.col("quality").cast("string").alias("e"), (F.col("n_chars") >= 300).cast("int").cast("string").alias("p"))
     return experiments.measure_split(rows, "e", "p", labels=labels)
+
+
+# Models, judges and artifacts
+
+
+def _classifier():
+    """A stand-in for a user's model: answers, refuses, times out or fails by the input's length."""
+    from ..operators.inference import InvalidOutput
+
+    def model(row):
+        n = len(row["text"] or "") % 5
+        if n == 0:
+            raise TimeoutError("slow")
+        if n == 1:
+            raise InvalidOutput("no json")
+        if n == 2:
+            raise KeyError("adapter")
+        return {"raw_prediction": f'{{"n":{n}}}', "input_tokens": n, "model_version": "v1"}
+
+    return model
+
+
+@query("""WITH t AS (SELECT doc_id, length(coalesce(text, '')) % 5 AS n FROM documents)
+SELECT doc_id, CASE WHEN n = 1 THEN 'no json' WHEN n > 2 THEN '{"n":' || n || '}' END AS raw_prediction, CASE n WHEN 0 THEN 'timeout' WHEN 2 THEN 'adapter_error' END AS error_kind, CASE n WHEN 0 THEN true WHEN 2 THEN false END AS retriable,
+  CASE WHEN n > 2 THEN n END AS input_tokens, CASE WHEN n > 2 THEN 'v1' END AS model_version, true AS timed FROM t""")
+def model_outcomes(spark, sf_dir):
+    """A model called on every document: answers, refusals, time-outs and failures are rows."""
+    from ..operators.inference import run_model
+
+    out = run_model(docs(spark, sf_dir).select("doc_id", "text"), _classifier, "doc_id", ["text"])
+    return out.select("doc_id", "raw_prediction", "error_kind", "retriable", "input_tokens", "model_version", (F.col("latency_ms") >= 0).alias("timed"))
+
+
+def _judge():
+    return lambda row: {"relevant": row["source_text"].startswith("a"), "unsupported": len(row["evidence"]) > 1, "score": (len(row["source_text"]) - 1) / 4}
+
+
+@query("""WITH e AS (SELECT event_id, event_type, len(event_type) AS n, event_id % 3 AS k, event_id % 10 < 3 AS bad FROM events)
+SELECT event_id, CASE WHEN n <= 5 THEN 'ok' ELSE 'error' END AS status, CASE WHEN n <= 5 THEN event_type[1] = 'a' END AS relevant, CASE WHEN n <= 5 THEN k > 1 END AS unsupported, CASE WHEN n <= 5 THEN round((n - 1) / 4, 6) END AS score, CASE WHEN n > 5 THEN 'ValueError' END AS error_kind FROM e WHERE NOT bad AND k > 0""")
+def judged_evidence(spark, sf_dir):
+    """A judge called on scored rows with evidence; a score out of bounds is an error row."""
+    from ..operators.inference import judge_requests, run_judge
+
+    rows = events(spark, sf_dir).selectExpr("event_id", "event_type AS text", "CASE WHEN event_id % 10 < 3 THEN 'error' ELSE 'scored' END AS status", "slice(array('x', 'y'), 1, CAST(event_id % 3 AS INT)) AS evidence")
+    return run_judge(judge_requests(rows, "event_id", "text", "evidence"), _judge, "event_id", ["source_text", "evidence"])
+
+
+@query("SELECT event_type, length(count(*)::VARCHAR) + 1 AS bytes, sha256(count(*)::VARCHAR || chr(10)) AS sha256 FROM events GROUP BY event_type")
+def file_digest_table(spark, sf_dir):
+    """Digests of files below a folder, here one of each event type."""
+    path = new_folder(spark, "files")
+    events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).cast("string").alias("value")).write.partitionBy("event_type").text(path)
+    found = jsonl.file_digests(spark, path).where("path LIKE '%.txt'")
+    return found.select(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type"), "bytes", "sha256")
+
+
+@query("SELECT unnest(['published', 'unchanged', 'refused']) AS outcome, count(*) AS rows FROM labels GROUP BY 1")
+def publish_once(spark, sf_dir):
+    """The same rows published twice, then other rows under the same path."""
+    path, rows = new_folder(spark, "published"), table(spark, sf_dir, "labels")
+    outcomes = [jsonl.publish(rows, path), jsonl.publish(rows, path)]
+    try:
+        outcomes.append(jsonl.publish(rows.where("doc_id % 2 = 0"), path))
+    except FileExistsError:
+        outcomes.append("refused")
+    return spark.createDataFrame([(o,) for o in outcomes], "outcome string").crossJoin(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")))
+
+
+@query("SELECT lang AS name, count(*) AS total, count(*) FILTER (text IS NULL) AS empty FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def json_artifacts(spark, sf_dir):
+    """One JSON object a file, written and read strictly."""
+    path = new_folder(spark, "artifacts")
+    rows = docs(spark, sf_dir).where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("text").isNull()).alias("empty"))
+    rows.select("lang", text.canonical_json(name="lang", total="total", empty="empty").alias("value")).write.partitionBy("lang").text(path)
+    return jsonl.read_json_object(spark, f"{path}/lang=*/*.txt", "name string, total long, empty long")
+
+
+@query(f"WITH s AS (SELECT {SPLIT.format(k='doc_id')} AS split, count(*) AS n FROM documents GROUP BY 1) SELECT 'test' AS split, 'count' AS field, 'changed' AS status, (n + 1)::VARCHAR AS declared, n::VARCHAR AS actual FROM s WHERE split = 'test'")
+def lock_check(spark, sf_dir):
+    """A lock of the test split whose count is off, against the manifest."""
+    rows = docs(spark, sf_dir).groupBy(F.expr(SPLIT.format(k="doc_id")).alias("split")).agg(F.count(F.lit(1)).alias("count")).withColumn("file", F.concat("split", F.lit(".jsonl")))
+    return jsonl.lock_differences(rows, rows.where("split = 'test'").withColumn("count", F.col("count") + 1), ("file", "count"))
+
+
+@query(r"SELECT event_id % 3 = 0 AS good, CASE event_id % 3 WHEN 1 THEN 'not valid JSON for an event' WHEN 2 THEN 'timestamp or request_id is missing' END AS reason, count(*) AS n FROM events GROUP BY ALL")
+def telemetry_bad_lines(spark, sf_dir):
+    """Telemetry lines of which two thirds are broken: what is kept, and why the others are not."""
+    path = new_folder(spark, "lines")
+    whole = F.to_json(F.struct(F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.col("event_id").cast("string").alias("request_id")))
+    lines = F.when(F.col("event_id") % 3 == 0, whole).when(F.col("event_id") % 3 == 1, F.lit('{"timestamp": ')).otherwise(F.lit('{"status": "ok"}'))
+    events(spark, sf_dir).repartition(4).select(lines.alias("value")).write.text(path)
+    good, bad = telemetry.read_events(spark, path)
+    both = good.select(F.lit(True).alias("good"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select(F.lit(False).alias("good"), "reason"))
+    return both.groupBy("good", "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -155,3 +155,21 @@ def test_manifest_lock(spark):
     lock = spark.createDataFrame([("test", "e.jsonl", 3, "z", "w")], manifest.schema)
     assert [(r.field, r.declared, r.actual) for r in jsonl.lock_differences(manifest, lock).collect()] == [("count", "3", "2")]
     assert jsonl.lock_differences(manifest, manifest.where("split = 'test'")).count() == 0
+
+
+def test_baseline_round_trip(spark, tmp_path):
+    from evalframe.operators.baseline import TextBaseline
+
+    rows = [(i, ("Café au lait" if i % 2 else "tea and milk") + f" cup{i % 5}", "yn"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string, label string")
+    model = TextBaseline.fit(df, "text", "label", max_iter=50)
+    model.save(str(tmp_path / "m"))
+    again = TextBaseline.load(spark, str(tmp_path / "m"))
+    pick = lambda m: {r.id: (r.predicted_label, round(r.predicted_confidence, 9)) for r in m.predict(df, "text").collect()}
+    assert pick(model) == pick(again) and all(p == "yn"[i % 2] for i, (p, _) in pick(model).items()) and model.identity == again.identity
+    assert TextBaseline.fit(df.orderBy(F.desc("id")), "text", "label", max_iter=5).identity == model.identity
+
+
+def test_duplicates_in_order(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), ("a", 2), (None, 8), (None, 9)], "k string, id int")
+    assert sorted((str(r.k), r.id, r.previous_id, r.first_id) for r in dataset.duplicates(df, "k", "id").collect()) == [("a", 2, 1, 1), ("a", 3, 2, 1)]
