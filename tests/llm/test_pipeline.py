@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
     held = [r.doc_id for r in kept if r.text and "printed everywhere" in r.text]
     assert len(held) == 1
     source, kept = out["minhash_near_dedup"]
-    _, root = expected_components({r.doc_id: r.text for r in source}, 85)
+    _, root = expected_components({r.doc_id: r.text for r in source}, 80)
     assert sorted(r.doc_id for r in kept) == sorted(k for k, v in root.items() if k == v)
     source, kept = out["mixing"]
     known = {r.doc_id: r for r in source}
