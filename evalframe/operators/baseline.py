@@ -37,6 +37,10 @@ def grams(text: Column) -> Column:
     return F.concat(found, pairs)
 
 
+#: Rows of the fit that one task goes through in each iteration.
+ROWS_A_TASK = 4_000
+
+
 class TextBaseline:
     def __init__(self, counts: CountVectorizerModel, idf: list[float], model: LogisticRegressionModel, labels: list[str], identity: str) -> None:
         self.counts, self.idf, self.model, self.labels, self.identity = counts, idf, model, labels, identity
@@ -67,7 +71,8 @@ class TextBaseline:
         idf = [math.log((1 + n) / (1 + df_of.get(w, 0))) + 1 for w in counts.vocabulary]
         table = F.create_map(*(F.lit(x) for k in labels for x in (k, float(labels.index(k)))))
         weight = F.create_map(*(F.lit(x) for k in labels for x in (k, n / (len(labels) * sizes[k]))))
-        ready = cls._weigh(counts.transform(rows), idf).select("features", F.element_at(table, F.col("label")).alias("y"), F.element_at(weight, F.col("label")).alias("c")).persist()
+        ready = cls._weigh(counts.transform(rows), idf).select("features", F.element_at(table, F.col("label")).alias("y"), F.element_at(weight, F.col("label")).alias("c"))
+        ready = ready.repartition(-(-n // ROWS_A_TASK)).persist()  # each of the many iterations is a job: no task should be tiny
         model = LogisticRegression(labelCol="y", weightCol="c", maxIter=max_iter, regParam=1.0 / n, standardization=False).fit(ready)
         identity = prefix_digest(rows.select(F.sha2(F.concat_ws("\n", F.sha2("text", 256), "label"), 256).alias("k")), "k").first()["digest"]
         rows.unpersist()
