@@ -126,22 +126,31 @@ def _hopeful(est: np.ndarray, on: np.ndarray, percent: int) -> np.ndarray:
     return est >= p - SLACK * np.sqrt(p * (1 - p) / np.maximum(on, 1))
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows of lists that lie in several components, dealt so that any two rows of a list meet in one group (key, i, j)."""
-    mixed = rows.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.ceil(F.count(F.lit(1)) / block).alias("blocks")).where("lo < hi")
-    own = rows.join(mixed.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+def _mixed_lists(labelled: DataFrame, block: int) -> DataFrame:
+    """(key, blocks) of lists whose rows lie in several components; a stored table, so that Spark knows its size."""
+    ends = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    return stash(ends.where("lo < hi").select("key", "blocks"))
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, blocks, id, ...) dealt so that any two rows of a list meet in one group (key, i, j)."""
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows plus component_id, their own id where no link has joined them yet."""
+    return rows.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+
+
 def _compare_lists(listed: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int, k: int, lists: int) -> DataFrame:
     """(key, id) of documents that may link, by their sketches, with one of the same list but another component.
 
     A pair is looked at only in the first list that it shares.
     """
     padded = sketches.select("id", F.concat("sketch", F.array_repeat(F.lit(np.iinfo(np.int64).max), k - F.size("sketch"))).alias("sketch"))
-    labelled = listed.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    in_mixed = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("key")
-    rows = _in_blocks(labelled.join(in_mixed, "key", "left_semi").join(padded, "id"), BLOCK)
+    mixed = _mixed_lists(_labelled(listed, labels), BLOCK)
+    rows = _in_blocks(_labelled(listed.join(mixed, "key"), labels).join(padded, "id"))
     rows = rows.select("key", "i", "j", "own", "lead", "id", "n_shingles", "component_id", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     schema = StructType([*StructType.fromDDL("key long").fields, listed.schema["id"]])
 
@@ -170,8 +179,8 @@ def _compare_lists(listed: DataFrame, sketches: DataFrame, labels: DataFrame, pe
 
 def _confirm_lists(flagged: DataFrame, texts: DataFrame, labels: DataFrame, percent: int, width: int, k: int) -> DataFrame:
     """Links (a, b), confirmed on full sets, that join different components of a list; what is joined already is not compared again."""
-    labelled = flagged.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    rows = _in_blocks(labelled, TEXTS).join(texts, "id").select("key", "i", "j", "own", "id", "component_id", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    mixed = _mixed_lists(_labelled(flagged, labels), TEXTS)
+    rows = _in_blocks(_labelled(flagged.join(mixed, "key"), labels)).join(texts, "id").select("key", "i", "j", "own", "id", "component_id", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     schema = StructType([StructField("a", flagged.schema["id"].dataType), StructField("b", flagged.schema["id"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.xxhash64(F.element_at("sketch", i.cast("int")), F.element_at("sketch", (i + 1).cast("int"))).alias("key"), F.element_at("sketch", i.cast("int")).alias("lead"),
         ))).alias("pair"),
     ).select("id", "n_shingles", "pair.*")
-    shared = keys.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.max("id").alias("last")).where("first.id < last").drop("last")
+    shared = stash(keys.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("first"), F.max("id").alias("last")).where("first.id < last").drop("last"))
     listed = stash(keys.join(shared, "key"))
     docs_in = one_text(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))).select("id", "text")
     texts = stash(docs_in.join(listed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
