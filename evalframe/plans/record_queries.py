@@ -11,7 +11,7 @@ from ..sources.shared import new_folder
 from ..streaming import telemetry
 from . import derived
 from .derived import ITEMS_SQL, SPLIT, cases, items, table
-from .queries import BROKEN, CLASSES, KEYED, LINE_MATRIX, METRICS, POLICY, SWEEP, docs, keyed, labelled, line_matrix, query, reviews
+from .queries import BROKEN, CLASSES, TOKENS, KEYED, LINE_MATRIX, METRICS, POLICY, SWEEP, docs, keyed, labelled, line_matrix, masked, query, reviews
 
 V = contracts.VOCABULARY
 joined = lambda c: F.array_join(c, ",")
@@ -472,6 +472,15 @@ def noise_plan_digest(spark, sf_dir):
     return dataset.plan_digest(dataset.noise_plan(labels, "doc_id", "quality", ["0", "1"], 0.3, 20260820))
 
 
+@query(f"WITH {TOKENS} SELECT count(*) AS rows, count(*) FILTER (conv_id % 5 = 0 OR (conv_id % 5 = 1 AND np < 256 AND nr > 0)) AS bad_rows FROM w")
+def mask_audit_of_broken_rows(spark, sf_dir):
+    """The audit on masks of which some learn from the prompt and some ignore the answer."""
+    first = F.transform("labels", lambda x, i: F.when(i == 0, F.lit(7)).otherwise(x))
+    none = F.transform("labels", lambda x: F.lit(sft.IGNORE))
+    broken = F.when(F.col("conv_id") % 5 == 0, first).when(F.col("conv_id") % 5 == 1, none).otherwise(F.col("labels"))
+    return sft.audit_masks(masked(spark, sf_dir).withColumn("labels", broken), "prompt", "response").select("rows", "bad_rows")
+
+
 PROMPT = "version: 1\nSYSTEM:\nLabel the ticket.\nUSER:\nTicket: {ticket_json}\nSchema: {schema_json}\n"
 
 

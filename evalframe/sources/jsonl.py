@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,18 +76,25 @@ def verify_evidence_index(spark: SparkSession, path: str, index: str) -> DataFra
 
 
 def publish(df: DataFrame, path: str) -> str:
-    """Write a table once: published, unchanged if the same rows are there, else an error."""
+    """Write a table once: published, unchanged if the same rows are there, else an error.
+
+    Rows are written to a folder beside path, read back and counted, and only then moved to path, so a reader sees the
+    whole table or none.
+    """
     spark = df.sparkSession
-    try:
+    target, staged = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
         there = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        df.write.mode("errorifexists").parquet(path)
-        return "published"
-    if there.columns != df.columns or not there.exceptAll(df).isEmpty() or not df.exceptAll(there).isEmpty():
-        raise FileExistsError(f"{path} holds other rows")
-    return "unchanged"
+        if there.columns != df.columns or not there.exceptAll(df).isEmpty() or not df.exceptAll(there).isEmpty():
+            raise FileExistsError(f"{path} holds other rows")
+        return "unchanged"
+    df.write.mode("errorifexists").parquet(staged.toString())
+    read = spark.read.parquet(staged.toString())
+    if read.columns != df.columns or read.count() != df.count() or not files.rename(staged, target):
+        files.delete(staged, True)
+        raise OSError(f"{path} could not be published whole")
+    return "published"
 
 
 def manifest_splits(manifest: DataFrame) -> DataFrame:
