@@ -15,28 +15,45 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose most toxic window scores below the threshold; labels only teach, they decide no document."""
+    """Documents whose most toxic window scores below the threshold; labels only teach, they decide no document.
+
+    Null, empty and wordless texts stay, and so does everything where the labels teach nothing.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity.fit_and_score(docs, labels, score_col="__ef_score").where(F.col("__ef_score") < toxicity.TOXIC).select(*COLUMNS)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sources show stay only at their first place; every document stays, n_chars follows the text."""
+    """Lines that many sources show stay only at their first place; every document stays, n_chars follows the text.
+
+    A null text stays null, with a null n_chars; a text whose every line goes becomes empty.
+    """
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Rows without words or with a null id stay; rows of one id stay or go together.
+    """
     return minhash.drop_near_duplicates(docs, percent=80).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights, in its shards' shuffled order; a document comes as often as it is taken, up to three times."""
+    """The mix to target weights, in its shards' shuffled order; a document comes as often as it is taken, up to three times.
+
+    Rows without words weigh nothing and go where their block goes; a null source is a source, a null id is dealt like
+    any other. A document above its source's target may be left out whole.
+    """
     return mixing.laid_out(mixing.mix(docs)).select(*COLUMNS)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as piece ids, with proof that they decode to the text."""
+    """The corpus as piece ids, with proof that they decode to the text.
+
+    A null text has null ids and a null n_pieces and decodes to null, an empty one has no ids. round_trip is false only for
+    texts that hold the white-space mark itself, which comes back as a space.
+    """
     both = pieces.encode_and_decode(docs.select("doc_id", "lang", "source", "text"))
     return both.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
