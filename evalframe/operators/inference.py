@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -28,13 +29,27 @@ def _typed(rows: list[dict], names: list[str], ids: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def run_model(df: DataFrame, make_model: Callable[[], Callable[[dict], dict]], id_col: str, input_cols: list[str]) -> DataFrame:
+def _within(seconds: float | None, call: Callable[[], dict]) -> dict | None:
+    """What call returns, or null if it takes longer; what still runs then is left to itself."""
+    if seconds is None:
+        return call()
+    box: list[dict] = []
+    thread = threading.Thread(target=lambda: box.append(call()), daemon=True)
+    thread.start()
+    thread.join(seconds)
+    return box[0] if box else None
+
+
+def run_model(df: DataFrame, make_model: Callable[[], Callable[[dict], dict]], id_col: str, input_cols: list[str], time_limit: float | None = None) -> DataFrame:
     """Call a model on each row: (id_col and OUTCOME).
 
     make_model runs once for each partition and gives a function from a row's inputs to a dict with raw_prediction and
     optional accounting. InvalidOutput keeps the raw text; a TimeoutError or any other exception becomes a typed error.
-    A failing row never fails its task.
+    A failing row never fails its task. With time_limit (seconds, above 0), a call that takes longer is a timeout, and the
+    next row goes on while it still runs in the background.
     """
+    if time_limit is not None and time_limit <= 0:
+        raise ValueError("time_limit must be above 0")
     names = [f.split()[0] for f in OUTCOME.split(", ")]
     schema = StructType([df.schema[id_col], *StructType.fromDDL(OUTCOME).fields])
 
@@ -53,7 +68,8 @@ def run_model(df: DataFrame, make_model: Callable[[], Callable[[dict], dict]], i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for batch in batches:
-            rows = [call(model, r) for r in batch[input_cols].to_dict("records")]
+            late = {"error_kind": "timeout", "error_message": "TimeoutError", "retriable": True, "latency_ms": (time_limit or 0) * 1000}
+            rows = [_within(time_limit, lambda r=r: call(model, r)) or late for r in batch[input_cols].to_dict("records")]
             yield _typed(rows, names, batch[id_col])
 
     return df.select(*dict.fromkeys([id_col, *input_cols])).mapInPandas(run, schema)

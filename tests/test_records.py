@@ -173,3 +173,22 @@ def test_baseline_round_trip(spark, tmp_path):
 def test_duplicates_in_order(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), ("a", 2), (None, 8), (None, 9)], "k string, id int")
     assert sorted((str(r.k), r.id, r.previous_id, r.first_id) for r in dataset.duplicates(df, "k", "id").collect()) == [("a", 2, 1, 1), ("a", 3, 2, 1)]
+
+
+def test_time_limit(spark):
+    from evalframe.operators.inference import run_model
+
+    def make():
+        import time
+
+        def model(row):
+            time.sleep(30 if row["n"] == 2 else 0)
+            return {"raw_prediction": str(row["n"])}
+
+        return model
+
+    df = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id int, n int").coalesce(1)
+    got = {r.id: (r.raw_prediction, r.error_kind, r.retriable) for r in run_model(df, make, "id", ["n"], time_limit=1.0).collect()}
+    assert got == {1: ("1", None, None), 2: (None, "timeout", True), 3: ("3", None, None)}
+    with pytest.raises(ValueError):
+        run_model(df, make, "id", ["n"], time_limit=0)
