@@ -192,3 +192,18 @@ def test_time_limit(spark):
     assert got == {1: ("1", None, None), 2: (None, "timeout", True), 3: ("3", None, None)}
     with pytest.raises(ValueError):
         run_model(df, make, "id", ["n"], time_limit=0)
+
+
+def test_template_expansion(spark):
+    from evalframe.operators.synthetic import expand_templates
+
+    df = spark.createDataFrame([(i,) for i in (*range(12), -1, None)], "n int")
+    how = {"templates": {"MFA_FAILURE": ["code for {scope}"], "OTHER_IAM": ["help {scope}"]}, "scopes": {"SINGLE_USER": "me", "DEPARTMENT": "us"}}
+    got = expand_templates(df, "n", **how, security=("MFA_FAILURE", 3, "stolen")).orderBy("n").collect()
+    by = {r.n: r for r in got}
+    assert len(got) == 14 and by[None].issue_type is None and by[-1].body is None and by[1].robustness is None
+    assert [(by[i].issue_type, by[i].affected_scope, by[i].body) for i in (0, 1, 2, 3)] == [("MFA_FAILURE", "SINGLE_USER", "stolen"), ("OTHER_IAM", "SINGLE_USER", "help me"), ("MFA_FAILURE", "DEPARTMENT", "code for us"), ("OTHER_IAM", "DEPARTMENT", "help us")]
+    assert by[0].recommended_action == by[6].recommended_action == "ESCALATE_SECURITY_REVIEW" != by[2].recommended_action
+    assert len({by[i].submitted_at for i in range(12)}) == 12
+    with pytest.raises(ValueError):
+        expand_templates(df, "n", **how, stride=60)
