@@ -15,7 +15,7 @@ SPAN = 365 * 24 * 3600
 
 
 def pick(index: Column, values: list[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+    return F.when(index.isNotNull(), F.get(F.array(*map(F.lit, values)), index.cast("int")))
 
 
 def expand_templates(
