@@ -123,13 +123,14 @@ def missing_members(values: DataFrame, vocabulary: DataFrame, column: str) -> Da
 def noise_plan(df: DataFrame, id_col: str, label_col: str, labels: list[str], fraction: float, seed: int, rows: int | None = None) -> DataFrame:
     """Exactly round(rows * fraction) rows (half to even), picked by sha256(seed:id), each moved to the next label.
 
-    (id, original, corrupted), the plan of a label-noise experiment. rows defaults to the table's count.
+    (id, original, corrupted), the plan of a label-noise experiment; a label that is null or not in labels becomes null.
+    rows defaults to the table's count.
     """
     k = round((df.count() if rows is None else rows) * fraction)
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
     known = F.array(*map(F.lit, labels))
     place = F.array_position(known, F.col(label_col).cast("string"))
-    moved = F.element_at(known, (place % len(labels) + 1).cast("int"))
+    moved = F.when(place > 0, F.element_at(known, (place % len(labels) + 1).cast("int")))
     return df.orderBy(order, id_col).limit(k).select(F.col(id_col).alias("id"), F.col(label_col).alias("original"), moved.alias("corrupted"))
 
 
