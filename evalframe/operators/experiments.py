@@ -33,7 +33,7 @@ def noise_ablation(rows: DataFrame, id_col: str, text: str, label: str, labels:
     """One row for each fraction and measured split: fraction, corrupted, plan_digest, split, count, errors and scores.
 
     The training labels of a fraction of rows move to the next label, with another seed for each fraction; a clean
-    control must be among them. Fits run one after the other, each of them a Spark job.
+    control must be among them; its plan is empty and has a null digest. Fits run one after the other.
     """
     if 0.0 not in fractions or len(set(fractions)) != len(fractions) or any(not 0 <= f <= 1 for f in fractions):
         raise ValueError("fractions must be distinct, within 0 and 1, and include 0.0")
@@ -44,7 +44,7 @@ def noise_ablation(rows: DataFrame, id_col: str, text: str, label: str, labels:
         moved = training.join(plan.select(F.col("id").alias(id_col), "corrupted"), id_col, "left").withColumn(label, F.coalesce("corrupted", label)).drop("corrupted")
         model = TextBaseline.fit(moved, text, label, **how)
         measured = measure_split(model.predict(rows.where(F.col(split_col) != train), text), label, "predicted_label", split_col)
-        made = plan_digest(plan).select(F.col("keys").alias("corrupted"), F.col("digest").alias("plan_digest"))
+        made = plan_digest(plan).select(F.coalesce("keys", F.lit(0)).cast("long").alias("corrupted"), F.col("digest").alias("plan_digest"))
         point = measured.crossJoin(made).select(F.lit(fraction).alias("fraction"), "corrupted", "plan_digest", *measured.columns)  # one row of the plan
         out = point if out is None else out.unionByName(point)
     return out

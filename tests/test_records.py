@@ -120,7 +120,7 @@ def test_noise_ablation(spark):
     df = spark.createDataFrame(rows, "id int, text string, label string, split string")
     points = experiments.noise_ablation(df, "id", "text", "label", ["a", "b"], (0.0, 0.4), max_iter=50).persist()
     got = {(r.fraction, r.split): r for r in points.collect()}
-    assert set(got) == {(f, s) for f in (0.0, 0.4) for s in ("validation", "test")} and [got[f, "test"].corrupted for f in (0.0, 0.4)] == [None, 48]
+    assert set(got) == {(f, s) for f in (0.0, 0.4) for s in ("validation", "test")} and [got[f, "test"].corrupted for f in (0.0, 0.4)] == [0, 48]
     assert got[0.0, "test"].macro_f1 == 1.0 and got[0.0, "test"].errors == 0 and got[0.0, "test"]["count"] == 60
     end = experiments.noise_conclusion(points).first()
     assert (end.clean, end.noisiest_fraction) == (1.0, 0.4) and end.fell == (end.noisiest < 1.0)
