@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import embedding_dedup, line_dedup, minhash, mixing, pieces, sharding, substring_dedup, topk, toxicity, warc
+from . import embedding_dedup, line_dedup, merkle, minhash, mixing, pieces, sharding, substring_dedup, topk, toxicity, warc
 from .common import scratch_dir, table
 
 
@@ -88,11 +88,26 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.unionByName(short)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    spoilt = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    more = {"n_chars": F.when(spoilt, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars").cast("decimal(20,0)"))}
+    proved = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", more)
+    folded = proved.withColumn("folded_root", merkle.fold(F.col("altered_leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op3_mix_layout, op4_toxicity, op5_sentence_pieces, op6_embedding_near_dedup,
-    op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip,
+    op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip, op11_merkle_manifest,
 )}
 
+#: CTEs crcs (s, crc): the unsigned CRC-32 of the decimal ids of the table that it names.
+CRC32_SQL = r"""
+WITH RECURSIVE tabs AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+crcs AS MATERIALIZED (SELECT s, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)))::BIGINT AS crc FROM (SELECT DISTINCT doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL), tabs),"""
+
 ORACLE_SQL = {
     "op1_line_dedup": r"""
 WITH lines AS (
@@ -171,4 +186,24 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to FROM f""",
+    "op11_merkle_manifest": CRC32_SQL + r"""
+d AS (SELECT *, (SELECT crc FROM crcs WHERE crcs.s = coalesce(doc_id::VARCHAR, 'null')) % 7 = 0 AND doc_id IS NOT NULL AS spoilt FROM documents),
+f AS (SELECT doc_id, lang, spoilt, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+  n_chars, coalesce(strlen(text) || ':' || text, '-') AS z FROM d),
+leaf AS MATERIALIZED (SELECT doc_id, lang, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+  CASE WHEN spoilt THEN sha256(a || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || z) END AS altered FROM f),
+base AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+t AS (SELECT lang, 0 AS lvl, idx, leaf AS h, n FROM base UNION ALL SELECT lang, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, idx // 2),
+subs AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, idx, h, n FROM subs UNION ALL SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, idx // 2),
+steps AS (SELECT b.doc_id, b.leaf, b.altered, x.lvl, b.lang, s.h AS sib, (b.idx >> x.lvl) & 1 AS side FROM base b JOIN (SELECT DISTINCT lang, lvl FROM t WHERE n > 1) x ON b.lang IS NOT DISTINCT FROM x.lang
+    LEFT JOIN t s ON s.lang IS NOT DISTINCT FROM b.lang AND s.lvl = x.lvl AND s.idx = xor(b.idx >> x.lvl, 1)
+  UNION ALL SELECT b.doc_id, b.leaf, b.altered, 1000 + x.lvl, b.lang, s.h, (g.idx >> x.lvl) & 1 FROM base b JOIN subs g ON b.lang IS NOT DISTINCT FROM g.lang JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) x ON true
+    LEFT JOIN u s ON s.lvl = x.lvl AND s.idx = xor(g.idx >> x.lvl, 1)),
+p AS (SELECT doc_id, leaf, lang, any_value(altered) AS altered, sha256(coalesce(string_agg(sib, '' ORDER BY lvl), '')) AS proof,
+  list(CASE WHEN sib IS NULL THEN 'N' WHEN side = 1 THEN 'R' || sib ELSE 'L' || sib END ORDER BY lvl) AS path FROM steps GROUP BY doc_id, leaf, lang),
+q AS (SELECT b.doc_id, b.leaf, g.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256,
+  list_reduce(list_prepend(coalesce(b.altered, b.leaf), coalesce(path, [])), lambda v, s: sha256(CASE WHEN s[1] = 'N' THEN v WHEN s[1] = 'R' THEN s[2:] || v ELSE v || s[2:] END)) AS folded_root
+  FROM base b JOIN subs g ON b.lang IS NOT DISTINCT FROM g.lang LEFT JOIN p ON p.doc_id IS NOT DISTINCT FROM b.doc_id AND p.leaf = b.leaf AND p.lang IS NOT DISTINCT FROM b.lang)
+SELECT *, folded_root = root AS verified FROM q""",
 }
