@@ -51,29 +51,25 @@ def ranked(df: DataFrame, tree: str, order: list[str]) -> DataFrame:
 
 def _blocks(nodes: DataFrame) -> DataFrame:
     """(tree, n, block, hash, kids): nodes (tree, n, rank, hash, row) rolled up to one nested struct for each 2**BITS."""
-    digits = [F.shiftright("rank", j).bitwiseAND(1).cast("byte").alias(f"d{j}") for j in range(BITS)]
-    up = nodes.select("tree", "n", F.shiftright("rank", BITS).alias("block"), *digits, "hash", F.col("row").alias("kids")).repartition("tree", "block")
+    digits = [f"CAST(shiftright(rank, {j}) & 1 AS TINYINT) AS d{j}" for j in range(BITS)]
+    up = nodes.selectExpr("tree", "n", f"shiftright(rank, {BITS}) AS block", *digits, "hash", "row AS kids").repartition("tree", "block")
     for j in range(BITS):
-        run = F.sort_array(F.collect_list(F.struct(F.col(f"d{j}").alias("d"), "hash", "kids")))
+        run = F.expr(f"sort_array(collect_list(named_struct('d', d{j}, 'hash', hash, 'kids', kids)))")
         up = up.groupBy("tree", "block", *(f"d{i}" for i in range(j + 1, BITS))).agg(F.max("n").alias("n"), run.alias("kids"))
         # A run of one is hashed too while its tree has several nodes on this level; the last node of a tree passes on.
-        joined = F.sha2(F.array_join(F.transform("kids", lambda k: k["hash"]), ""), 256)
-        up = up.withColumn("hash", F.when(F.col("n") > (1 << j), joined).otherwise(F.col("kids")[0]["hash"]))
+        up = up.selectExpr("*", f"CASE WHEN n > {1 << j} THEN sha2(array_join(kids.hash, ''), 256) ELSE kids[0].hash END AS hash")
     return up.select("tree", "n", "block", "hash", "kids")
 
 
-def _unfold(kids: Column, level: int, above: Column, number: Column) -> Column:
+def _unfold(kids: str, level: int, above: str, number: str) -> str:
     """Array of (number, path, hash, row) of the leaves below; a path has a step for each level of its tree, lowest first."""
-
-    def downward(k: Column) -> Column:
-        step = F.struct(F.when(F.size(kids) == 2, F.get(kids, 1 - k["d"].cast("int"))["hash"]).alias("hash"), (k["d"] == 1).alias("right"))
-        path = F.concat(F.when(F.col("n") > (1 << level), F.array(step)).otherwise(F.array().cast(PATH)), above)
-        here = number * 2 + k["d"]
-        if level == 0:
-            return F.array(F.struct(here.alias("number"), path.alias("path"), k["hash"].alias("hash"), k["kids"].alias("row")))
-        return _unfold(k["kids"], level - 1, path, here)
-
-    return F.flatten(F.transform(kids, downward))
+    k = f"k{level}"
+    step = f"named_struct('hash', IF(size({kids}) = 2, get({kids}, 1 - {k}.d).hash, NULL), 'right', {k}.d = 1)"
+    path = f"concat(IF(n > {1 << level}, array({step}), CAST(array() AS {PATH})), {above})"
+    here = f"({number} * 2 + {k}.d)"
+    if level:
+        return f"flatten(transform({kids}, {k} -> {_unfold(f'{k}.kids', level - 1, path, here)}))"
+    return f"transform({kids}, {k} -> named_struct('number', {here}, 'path', {path}, 'hash', {k}.hash, 'row', {k}.kids))"
 
 
 def _proved(nodes: DataFrame, most: int, finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -83,7 +79,7 @@ def _proved(nodes: DataFrame, most: int, finish: Callable[[DataFrame], DataFrame
     above = finish(ends) if most <= 1 << BITS else _proved(ends, -(-most >> BITS), finish)
     both = blocks.drop("hash").unionByName(above.select("tree", F.col("rank").alias("block"), "path", "sub", "root"), allowMissingColumns=True)
     whole = both.groupBy("tree", "block").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("n", "kids", "path", "sub", "root")))
-    leaves = whole.select("tree", "n", "sub", "root", F.explode(_unfold(F.col("kids"), BITS - 1, F.col("path"), F.col("block"))).alias("x"))
+    leaves = whole.select("tree", "n", "sub", "root", F.explode(F.expr(_unfold("kids", BITS - 1, "path", "block"))).alias("x"))
     return leaves.select("tree", "n", F.col("x.number").alias("rank"), "x.hash", "x.row", "x.path", "sub", "root")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import embedding_dedup, line_dedup, merkle, minhash, mixing, pieces, sharding, substring_dedup, topk, toxicity, warc
+from . import embedding_dedup, line_dedup, merkle, minhash, mixing, pieces, prefix_trie, sharding, substring_dedup, topk, toxicity, warc
 from .common import scratch_dir, table
 
 
@@ -97,16 +97,29 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.turns_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    heads = own.where("id % 100 = 0").select(F.col("id").alias("base"), F.slice("turns", 1, 5).alias("head"))
+    taken = (F.crc32(F.col("id").cast("string").cast("binary")) % 6).cast("int")
+    rest = F.slice("turns", taken + 1, F.greatest(F.size("turns") - taken, F.lit(0)))
+    turns = F.when(F.col("head").isNotNull(), F.concat(F.slice("head", F.lit(1), taken), rest)).otherwise(rest)
+    return prefix_trie.build_trie(own.join(heads, F.col("id") - F.col("id") % 100 == F.col("base"), "left").select("id", turns.alias("turns")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op3_mix_layout, op4_toxicity, op5_sentence_pieces, op6_embedding_near_dedup,
-    op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip, op11_merkle_manifest,
+    op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip, op11_merkle_manifest, op13_prefix_trie,
 )}
 
-#: CTEs crcs (s, crc): the unsigned CRC-32 of the decimal ids of the table that it names.
-CRC32_SQL = r"""
+
+
+def crc32_sql(name: str, column: str) -> str:
+    """CTEs crcs (s, crc): the unsigned CRC-32 of a table's ids in decimal."""
+    return f"""
 WITH RECURSIVE tabs AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
 crcs AS MATERIALIZED (SELECT s, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)),
-  lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)))::BIGINT AS crc FROM (SELECT DISTINCT doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL), tabs),"""
+  lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)))::BIGINT AS crc FROM (SELECT DISTINCT {column}::VARCHAR AS s FROM {name} WHERE {column} IS NOT NULL), tabs),"""
+
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
@@ -186,7 +199,7 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to FROM f""",
-    "op11_merkle_manifest": CRC32_SQL + r"""
+    "op11_merkle_manifest": crc32_sql("documents", "doc_id") + r"""
 d AS (SELECT *, (SELECT crc FROM crcs WHERE crcs.s = coalesce(doc_id::VARCHAR, 'null')) % 7 = 0 AND doc_id IS NOT NULL AS spoilt FROM documents),
 f AS (SELECT doc_id, lang, spoilt, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
   n_chars, coalesce(strlen(text) || ':' || text, '-') AS z FROM d),
@@ -206,4 +219,21 @@ q AS (SELECT b.doc_id, b.leaf, g.h AS subroot, (SELECT h FROM u WHERE n = 1) AS
   list_reduce(list_prepend(coalesce(b.altered, b.leaf), coalesce(path, [])), lambda v, s: sha256(CASE WHEN s[1] = 'N' THEN v WHEN s[1] = 'R' THEN s[2:] || v ELSE v || s[2:] END)) AS folded_root
   FROM base b JOIN subs g ON b.lang IS NOT DISTINCT FROM g.lang LEFT JOIN p ON p.doc_id IS NOT DISTINCT FROM b.doc_id AND p.leaf = b.leaf AND p.lang IS NOT DISTINCT FROM b.lang)
 SELECT *, folded_root = root AS verified FROM q""",
+    "op13_prefix_trie": crc32_sql("conversations", "conv_id") + r"""
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos, k, chars FROM
+  (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, ''))::BIGINT AS chars FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT DISTINCT conv_id, (SELECT crc FROM crcs WHERE s = conv_id::VARCHAR) % 6 AS h FROM t),
+r AS (SELECT c.conv_id, t.pos, t.k, t.chars FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.pos <= h
+  UNION ALL SELECT c.conv_id, pos + 1000000, k, chars FROM c JOIN t USING (conv_id) WHERE pos > h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d FROM r),
+p AS MATERIALIZED (SELECT conv_id, d, chars, md5(string_agg(k, '' ) OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS node FROM o),
+q AS MATERIALIZED (SELECT conv_id, d, chars, node FROM p UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT conv_id, max(d) AS len FROM q GROUP BY conv_id),
+n AS MATERIALIZED (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(q.conv_id::VARCHAR, ',' ORDER BY q.conv_id) FILTER (WHERE d = len), '') AS ends FROM q JOIN l USING (conv_id) GROUP BY node, d),
+up AS MATERIALIZED (SELECT n.node, n.conv_id, n.d, x.node AS parent FROM n JOIN q x ON x.conv_id = n.conv_id AND x.d = n.d - 1),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM up GROUP BY parent),
+f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (node)),
+s AS (SELECT a.node, sum((f.n_children = 0)::BIGINT) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved FROM f JOIN q a ON a.conv_id = f.conv_id AND a.d <= f.d GROUP BY a.node)
+SELECT f.conv_id, f.d::BIGINT AS depth, pn.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN up USING (node) LEFT JOIN n pn ON pn.node = up.parent""",
 }
