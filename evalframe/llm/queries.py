@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import embedding_dedup, line_dedup, merkle, minhash, mixing, pieces, prefix_trie, sharding, substring_dedup, topk, toxicity, warc
+from . import embedding_dedup, line_dedup, merkle, minhash, mixing, pieces, prefix_trie, privacy, sharding, substring_dedup, topk, toxicity, warc
 from .common import scratch_dir, table
 
 
@@ -97,6 +97,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find_private(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    counts = [privacy.count_of("private", k).alias(f"n_{k}") for k in privacy.KINDS[: privacy.BASE]]
+    return found.select("doc_id", *counts, F.sha2(privacy.spans_text(privacy.base_spans("private")), 256).alias("base_sha256"), privacy.spans_text("private").alias("spans"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = prefix_trie.turns_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     heads = own.where("id % 100 = 0").select(F.col("id").alias("base"), F.slice("turns", 1, 5).alias("head"))
@@ -108,7 +114,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_shard_by_bytes, op3_mix_sources, op3_mix_layout, op4_toxicity, op5_sentence_pieces, op6_embedding_near_dedup,
-    op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip, op11_merkle_manifest, op13_prefix_trie,
+    op7_minhash_near_dedup, op8_exact_top_k, op9_substring_dedup, op10_warc_round_trip, op11_merkle_manifest, op12_private_data, op13_prefix_trie,
 )}
 
 
@@ -236,4 +242,26 @@ f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT
 s AS (SELECT a.node, sum((f.n_children = 0)::BIGINT) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved FROM f JOIN q a ON a.conv_id = f.conv_id AND a.d <= f.d GROUP BY a.node)
 SELECT f.conv_id, f.d::BIGINT AS depth, pn.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
 FROM f JOIN s USING (node) LEFT JOIN up USING (node) LEFT JOIN n pn ON pn.node = up.parent""",
+    "op12_private_data": r"""
+WITH k AS (SELECT * FROM (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
+  (5, 'account', '\b(?i:account|acct|passport|ssn)(?: ?(?i:number|no\.?|#))?[ :=#]{1,3}[A-Z]{0,2}[0-9](?:[ -]?[0-9]){4,16}\b'),
+  (6, 'address', '[A-Za-z][A-Za-z0-9+.-]{0,31}://[^\x00-\x20/?#@<>\x22]+@[A-Za-z0-9.-]+(?::[0-9]+)?'),
+  (7, 'iban', '\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b')) AS v(place, kind, rule)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT r, place, kind, regexp_extract_all(text, rule) AS f, string_split_regex(text, rule) AS p FROM d, k),
+n AS (SELECT r, place, kind, f, p, unnest(range(1, len(f) + 1)) AS i FROM m),
+o AS (SELECT r, place, kind, f[i] AS hit, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start,
+  string_split(regexp_replace(f[i], '[^0-9]', '', 'g'), '') AS g FROM n),
+v AS (SELECT r, place, kind, hit, start + CASE WHEN place = 5 THEN length(hit) - length(regexp_extract(hit, '[A-Z]{0,2}[0-9](?:[ -]?[0-9])*$')) ELSE 0 END AS start, start + length(hit) AS stop FROM o WHERE CASE place
+  WHEN 2 THEN len(list_filter(string_split(hit, '.'), lambda x: x::HUGEINT > 255)) = 0
+  WHEN 3 THEN len(g) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(g) + 1), lambda j: CASE WHEN j % 2 = 1 THEN g[len(g) - j + 1]::INT ELSE g[len(g) - j + 1]::INT * 2 // 10 + g[len(g) - j + 1]::INT * 2 % 10 END)) % 10 = 0
+  WHEN 4 THEN len(g) BETWEEN 9 AND 15
+  WHEN 7 THEN list_reduce(list_prepend(0::BIGINT, list_transform(string_split(replace(hit, ' ', '')[5:] || hit[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::BIGINT ELSE ascii(c)::BIGINT - 55 END)),
+    lambda a, b: (a * CASE WHEN b < 10 THEN 10 ELSE 100 END + b) % 97) = 1
+  ELSE true END),
+s AS (SELECT r, count(*) FILTER (WHERE place = 1) AS n_email, count(*) FILTER (WHERE place = 2) AS n_ip, count(*) FILTER (WHERE place = 3) AS n_card, count(*) FILTER (WHERE place = 4) AS n_phone,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) AS spans, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) FILTER (WHERE place <= 4) AS base FROM v GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (r)""",
 }
