@@ -171,7 +171,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _placed(distinct: DataFrame) -> DataFrame:
     """(id, exit, chain) of every distinct conversation (id, path); chain holds the places above it, nearest first, the root last."""
-    state = distinct.select("id", "path", F.lit(0).alias("exit"), F.expr(f"CAST(array(named_struct('owner', NULL, 'depth', 0)) AS {CHAIN})").alias("chain"), F.lit(b"").alias("grp"))
+    state = distinct.select("id", "path", F.lit(0).alias("exit"), F.expr(f"CAST(array(named_struct('owner', NULL, 'depth', 0)) AS {CHAIN})").alias("chain"), F.substring("path", 1, 0).alias("grp"))
     done = []
     while True:
         order = F.xxhash64("id")

@@ -18,6 +18,7 @@ ODD_VECTORS = [
     (1, [1.0, 2.0], 1), (2, [0.9, 0.1, 0.0, 0.0], 1), (3, [float("inf"), 0.0, 0.0, 0.0], 1), (4, [None, 1.0, 1.0, 1.0], 1),
 ]
 ODD_PAGES = [(1, "u", "p" * 200, 1), (None, None, "p" * 200, 1), (2, "u", None, 1), (2, "u", None, 1), (3, "u\r\nX: y", "", 1), (4, "u", "p" * 200, 1), (5, "u", "short", 1)]
+ODD_TURNS = [(100, 0, "user", "hello", 1), (101, None, None, None, 1), (101, 1, "user", "", 1), (102, 3, "user", "x" * 50_000, 1), (102, 3, "user", "x" * 50_000, 1), (None, 0, "user", "nobody's", 1), (-5, 0, "user", "hello", 1), (7, 0, "user", "hello", 1)]
 
 
 @pytest.fixture(scope="module", params=["odd", "empty"])
@@ -25,6 +26,7 @@ def tables(request, spark, tmp_path_factory):
     folder, keep = tmp_path_factory.mktemp(request.param), request.param == "odd"
     for name, rows, schema in (
         ("documents", ODD_DOCS, DOCS), ("labels", ODD_LABELS, "doc_id long, quality int, toxic int"), ("embeddings", ODD_VECTORS, "vec_id long, embedding array<float>, label int"), ("pages", ODD_PAGES, "page_id long, url string, html string, payload int"),
+        ("conversations", ODD_TURNS, "conv_id long, turn long, role string, text string, depth int"),
     ):
         spark.createDataFrame(rows if keep else [], schema).write.parquet(str(folder / f"{name}.parquet"))
     return str(folder), {"documents": len(ODD_DOCS) * keep, "embeddings": len(ODD_VECTORS) * keep, "pages": len(ODD_PAGES) * keep}
@@ -35,10 +37,14 @@ def test_every_query(spark, tables, name):
     folder, size = tables
     rows = queries.QUERIES[name](spark, folder).collect()
     of = {"op6": "embeddings", "op10": "pages"}.get(name.split("_")[0], "documents")
-    if name not in ("op3_mix_layout", "op8_exact_top_k"):  # one row of the result for each row of the table
+    if name not in ("op3_mix_layout", "op8_exact_top_k", "op13_prefix_trie"):  # one row of the result for each row of the table
         assert len(rows) == size[of]
     if name == "op8_exact_top_k":
         assert all(r.query_id in (20, 100) and r.vec_id is not None for r in rows) and bool(rows) == bool(size[of])
+    if name == "op13_prefix_trie":
+        assert sum(r.depth == 0 for r in rows) == bool(size[of]) and all(r.n_convs <= 5 for r in rows)
+    if name == "op11_merkle_manifest" and rows:
+        assert len({r.root for r in rows}) == 1 and all(r.verified == (r.folded_root == r.root) for r in rows)
     if name == "op5_sentence_pieces":
         assert all(r.round_trip for r in rows if r.doc_id != 8)
     if name == "op9_substring_dedup":
