@@ -345,7 +345,7 @@ def telemetry_summary(spark, sf_dir):
 @query(f"WITH {EVENTS} SELECT date_trunc('day', ts) AS window_start, model_selected, {RATES} FROM e GROUP BY 1, 2")
 def telemetry_windows(spark, sf_dir):
     out = telemetry.rollup(derived.events(spark, sf_dir), "1 day")
-    return out.drop("window_end", "p50_latency_ms", "p95_latency_ms").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return out.drop("window_end", "p50_latency_ms", "p95_latency_ms", "latencies", "latency_sketch").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(f"WITH {EVENTS} SELECT date_trunc('day', ts) AS window_start, model_selected, {RATES} FROM e GROUP BY 1, 2")
@@ -357,7 +357,7 @@ def streaming_telemetry(spark, sf_dir):
     rows = source.selectExpr("CAST(ts AS TIMESTAMP) AS timestamp", "event_type AS model_selected", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status", "event_id % 4 = 0 AS fallback", "event_id % 50 = 0 AS schema_failure", "value AS latency_ms", "CAST(event_id % 1000 AS DOUBLE) / 1000000 AS estimated_cost_usd")
     whole = lambda batch, _: batch.write.mode("overwrite").parquet(target)  # noqa: E731  (each batch has the whole result so far)
     telemetry.rollup(rows, "1 day").writeStream.foreachBatch(whole).option("checkpointLocation", state).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target).drop("window_end", "p50_latency_ms", "p95_latency_ms").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return spark.read.parquet(target).drop("window_end", "p50_latency_ms", "p95_latency_ms", "latencies", "latency_sketch").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _is_dir(spark: SparkSession, sf_dir: str) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routing_score, text
 from ..operators import contracts, costs, dataset, experiments, judge, regression, routing, scoring, sft
-from ..sources import jsonl, review
+from ..sources import files, jsonl, published, review
 from ..sources.shared import new_folder
 from ..streaming import telemetry
 from . import derived
@@ -662,7 +662,7 @@ def file_digest_table(spark, sf_dir):
     """Digests of files below a folder, here one of each event type."""
     path = new_folder(spark, "files")
     events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).cast("string").alias("value")).write.partitionBy("event_type").text(path)
-    found = jsonl.file_digests(spark, path).where("path LIKE '%.txt'")
+    found = files.file_digests(spark, path).where("path LIKE '%.txt'")
     return found.select(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type"), "bytes", "sha256")
 
 
@@ -670,12 +670,12 @@ def file_digest_table(spark, sf_dir):
 def publish_once(spark, sf_dir):
     """The same rows published twice, then other rows under the same path."""
     path, rows = new_folder(spark, "published"), table(spark, sf_dir, "labels")
-    outcomes = [jsonl.publish(rows, path), jsonl.publish(rows, path)]
+    outcomes = [published.publish(rows, path), published.publish(rows, path)]
     try:
-        outcomes.append(jsonl.publish(rows.where("doc_id % 2 = 0"), path))
+        outcomes.append(published.publish(rows.where("doc_id % 2 = 0"), path))
     except FileExistsError:
         outcomes.append("refused")
-    return spark.createDataFrame([(o,) for o in outcomes], "outcome string").crossJoin(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")))
+    return spark.createDataFrame([(o,) for o in outcomes], "outcome string").crossJoin(published.read_published(spark, path).agg(F.count(F.lit(1)).alias("rows")))
 
 
 @query("SELECT lang AS name, count(*) AS total, count(*) FILTER (text IS NULL) AS empty FROM documents WHERE lang IS NOT NULL GROUP BY lang")

@@ -1,8 +1,7 @@
-"""Strict JSON lines and JSON artifacts, canonical sinks, file digests."""
+"""Strict JSON lines and JSON artifacts, canonical sinks, evidence indexes and locks."""
 
 from __future__ import annotations
 
-import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +11,26 @@ from pyspark.sql.types import StructType
 from ..functions.text import canonical_json
 from ..operators.contracts import strict_json
 from ..operators.dataset import full_diff
+from .files import file_digests
+from .lines import file_sizes, numbered_lines
 
 MAX_LINE, MAX_FILE = 64 << 10, 64 << 20
 
 
-def read_strict_jsonl(spark: SparkSession, path: str, schema: StructType | str, max_line: int = MAX_LINE, max_file: int = MAX_FILE, blank_lines: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_strict_jsonl(spark: SparkSession, path: str, schema: StructType | str, max_line: int = MAX_LINE, max_file: int | None = None, blank_lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good rows with file and line_no, problems as file, line_no, reason).
 
-    A file must be UTF-8, at most max_file bytes (so it fits a row), not empty and ended by LF; a line at most max_line
-    bytes and exactly one JSON object without repeated or unknown keys. Files are read in parallel.
+    A file must be UTF-8, not empty, ended by LF and, with max_file, at most so large; a line at most max_line bytes and exactly
+    one JSON object without repeated or unknown keys. Nothing of a file that breaks a file's rule is good. Files are read in
+    splits, so one of any size is read in parallel, and lines still carry their numbers.
     """
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", F.when(F.col("length") <= max_file, F.col("content")).alias("content"))
-    whole = files.withColumn("reason", F.when(F.col("length") > max_file, "file too large").when(F.col("length") == 0, "empty file").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8").when(~F.col("content").cast("string").endswith("\n"), "no line end at the end"))
-    bad_files = whole.where("reason IS NOT NULL").select("file", F.lit(None).cast("int").alias("line_no"), "reason")
-    lines = whole.where("reason IS NULL").select("file", F.posexplode(F.split(F.regexp_replace(F.col("content").cast("string"), "\n$", ""), "\n", -1)).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
+    lines, sizes = numbered_lines(spark, path), file_sizes(spark, path)
+    facts = lines.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    large = F.lit(False) if max_file is None else F.col("length") > max_file
+    whole = sizes.join(facts, "file", "left").select("file", F.when(large, "file too large").when(F.col("length") == 0, "empty file").when(~F.col("valid"), "not UTF-8").when(F.col("bytes") != F.col("length"), "no line end at the end").alias("reason"))
+    bad_files = whole.where("reason IS NOT NULL").select("file", F.lit(None).cast("long").alias("line_no"), "reason")
+    lines = lines.withColumnRenamed("value", "line").join(bad_files.select("file"), "file", "left_anti")
     if blank_lines:
         lines = lines.where(F.btrim("line") != "")
     value = strict_json("line")
@@ -52,11 +56,6 @@ def write_canonical_jsonl(df: DataFrame, path: str, order_by: str | None = None)
     out.select(canonical_json(**{c: c for c in df.columns}).alias("value")).write.mode("errorifexists").text(path)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below path. A file is one value, so it must be below 2 GB."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def _below(path: str):
     """A file's path below a folder, from Spark's full path of the file."""
     root = (urlparse(path).path or path).rstrip("/")
@@ -75,28 +74,6 @@ def verify_evidence_index(spark: SparkSession, path: str, index: str) -> DataFra
     return full_diff(declared, file_digests(spark, path).select(_below(path).alias("name"), "sha256"), ["name"], "sha256")
 
 
-def publish(df: DataFrame, path: str) -> str:
-    """Write a table once: published, unchanged if the same rows are there, else an error.
-
-    Rows are written to a folder beside path, read back and counted, and only then moved to path, so a reader sees the
-    whole table or none.
-    """
-    spark = df.sparkSession
-    target, staged = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"))
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(target):
-        there = spark.read.parquet(path)
-        if there.columns != df.columns or not there.exceptAll(df).isEmpty() or not df.exceptAll(there).isEmpty():
-            raise FileExistsError(f"{path} holds other rows")
-        return "unchanged"
-    df.write.mode("errorifexists").parquet(staged.toString())
-    read = spark.read.parquet(staged.toString())
-    if read.columns != df.columns or read.count() != df.count() or not files.rename(staged, target):
-        files.delete(staged, True)
-        raise OSError(f"{path} could not be published whole")
-    return "published"
-
-
 def manifest_splits(manifest: DataFrame) -> DataFrame:
     """One row for each split of a manifest read as one object."""
     return manifest.select("dataset_name", "dataset_version", F.explode("splits").alias("s")).select("dataset_name", "dataset_version", "s.*")

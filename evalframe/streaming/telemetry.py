@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.routing_score import route
 from ..operators.stats import percentile
+from ..sources.lines import located_lines, with_line_numbers
 
 #: The only columns that may reach a sink: no input or output text.
 EVENT = StructType()
@@ -37,13 +38,31 @@ def by_model(events: DataFrame) -> DataFrame:
     return events.groupBy("model_selected").agg(F.count(F.lit(1)).alias("events"))
 
 
-def rollup(events: DataFrame, window: str = "1 hour", late: str | None = None) -> DataFrame:
-    """Measures for each tumbling window and model. On a stream, late bounds the state; its percentiles are approximate."""
+def rollup(events: DataFrame, window: str = "1 hour", late: str | None = None, sketch: int = 800) -> DataFrame:
+    """Measures for each tumbling window and model, with p50 and p95 of the latency and their mergeable sketch.
+
+    On a stream, late sets the watermark: append mode then gives a window once, when it is closed, and drops later events, so
+    the state is that of the open windows. sketch is the size of a KLL sketch; a percentile's rank is off by about
+    2.3 / sketch at most (99 % of the time), 0.3 % at 800. merged() sums windows to larger ones.
+    """
     if late:
         events = events.withWatermark("timestamp", late)
-    shares = [F.percentile_approx("latency_ms", s, 10_000).alias(f"p{round(100 * s)}_latency_ms") for s in (0.5, 0.95)]
-    grouped = events.groupBy(F.window("timestamp", window).alias("w"), "model_selected").agg(*_measures(), *shares)
-    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *(c for c in grouped.columns if c != "w"))
+    grouped = events.groupBy(F.window("timestamp", window).alias("w"), "model_selected").agg(*_measures(), F.count("latency_ms").alias("latencies"), F.kll_sketch_agg_double("latency_ms", sketch).alias("latency_sketch"))
+    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *(c for c in grouped.columns if c not in ("w", "latency_sketch")), *_tails("latency_sketch"), "latency_sketch")
+
+
+def _tails(sketch: str) -> list[Column]:
+    """Percentiles of a sketch; null where it holds nothing."""
+    filled = F.kll_sketch_get_n_double(sketch) > 0
+    return [F.when(filled, F.kll_sketch_get_quantile_double(sketch, F.lit(s))).alias(f"p{round(100 * s)}_latency_ms") for s in (0.5, 0.95)]
+
+
+def merged(windows: DataFrame, by: list[Column | str]) -> DataFrame:
+    """Rows of rollup summed to coarser groups: counts add up, rates are weighted, sketches merge without the events."""
+    weighted = [(F.sum(F.col(c) * F.col("events")) / F.sum("events")).alias(c) for c in ("error_rate", "fallback_rate", "schema_failure_rate")]
+    mean = F.coalesce(F.sum(F.col("avg_latency_ms") * F.col("latencies")) / F.nullif(F.sum("latencies"), F.lit(0)), F.lit(0.0))
+    out = windows.groupBy(*by).agg(F.sum("events").alias("events"), *weighted, mean.alias("avg_latency_ms"), F.sum("cost_usd").alias("cost_usd"), F.sum("latencies").alias("latencies"), F.kll_merge_agg_double("latency_sketch").alias("latency_sketch"))
+    return out.select(*(c for c in out.columns if c != "latency_sketch"), *_tails("latency_sketch"), "latency_sketch")
 
 
 def recent(events: DataFrame, n: int = 10_000) -> DataFrame:
@@ -59,13 +78,21 @@ def only_operational(df: DataFrame) -> DataFrame:
     return df
 
 
+def parsed_events(lines: DataFrame) -> DataFrame:
+    """lines (value, ...) with e, the event, and reason: null, or why the line is no event."""
+    corrupt = StructType([*EVENT.fields, *StructType.fromDDL("_corrupt_record string").fields])
+    parsed = lines.withColumn("e", F.from_json("value", corrupt, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    missing = F.col("e.timestamp").isNull() | F.col("e.request_id").isNull()
+    broken = F.col("e").isNull() | F.col("e._corrupt_record").isNotNull()
+    return parsed.withColumn("reason", F.when(broken, "not valid JSON for an event").when(missing, "timestamp or request_id is missing"))
+
+
 def read_events(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows of JSON lines: bad ones carry the line and its reason."""
-    raw = (spark.readStream if stream else spark.read).text(path)
-    parsed = raw.select("value", F.from_json("value", StructType([*EVENT.fields, *StructType.fromDDL("_corrupt_record string").fields]), {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"))
-    fine = F.col("e._corrupt_record").isNull() & F.col("e.timestamp").isNotNull() & F.col("e.request_id").isNotNull()
-    reason = F.when(F.col("e._corrupt_record").isNotNull(), "not valid JSON for an event").otherwise("timestamp or request_id is missing")
-    return parsed.where(fine).select(*(F.col(f"e.{n}") for n in EVENT.fieldNames())), parsed.where(~fine).select(F.col("value").alias("line"), reason.alias("reason"))
+    """(good, bad) rows of JSON lines: bad ones carry file, line number (null on a stream: see ingest), line and reason."""
+    found = located_lines(spark, path, stream)
+    rows = found.select("file", F.lit(None).cast("long").alias("line_no"), "value") if stream else with_line_numbers(found)
+    good, bad = parsed_events(found.select("value")), parsed_events(rows)
+    return good.where("reason IS NULL").select(*(F.col(f"e.{n}") for n in EVENT.fieldNames())), bad.where("reason IS NOT NULL").select("file", "line_no", F.col("value").alias("line"), "reason")
 
 
 def append(events: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery | None:

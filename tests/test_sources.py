@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evalframe.sources import jsonl, review
+from evalframe.sources import jsonl, published, review
 
 
 def test_strict_jsonl(spark, tmp_path):
@@ -26,9 +26,9 @@ def test_canonical_sink_and_digests(spark, tmp_path):
 
 def test_publish_once(spark, tmp_path):
     df, path = spark.range(3), str(tmp_path / "t")
-    assert jsonl.publish(df, path) == "published" and jsonl.publish(df, path) == "unchanged"
+    assert published.publish(df, path) == "published" and published.publish(df, path) == "unchanged"
     with pytest.raises(FileExistsError):
-        jsonl.publish(spark.range(4), path)
+        published.publish(spark.range(4), path)
 
 
 def test_reviews_round_trip(spark, tmp_path):
