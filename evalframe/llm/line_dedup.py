@@ -7,7 +7,7 @@ counted exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -15,11 +15,10 @@ from .common import stash
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """(id, version, site, pos, line_key) of each line with something on it; version tells rows of one id apart."""
+    # The text is hashed and split before the lines part: otherwise each line's row would carry and hash the whole text.
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(site_col).cast("string").alias("site"), F.split(F.col(text_col), "\n", -1).alias("lines"))
     return (
-        docs.select(
-            F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(site_col).cast("string").alias("site"),
-            F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"),
-        )
+        whole.select("id", "version", "site", F.posexplode("lines").alias("pos", "line"))
         .where(F.trim("line") != "")
         .select("id", "version", "site", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_key"))
     )
@@ -65,12 +64,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = lines.join(stash(flagged.select("line_key", "first_id", "first_pos")), "line_key")
     if keep_first:
         hit = hit.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
-    gone = hit.groupBy(F.col("id").alias("__ef_id"), F.col("version").alias("__ef_version")).agg(F.collect_set("pos").alias("__ef_gone"))
+    gone = hit.groupBy(F.col("id").alias("__ef_id"), F.col("version").alias("__ef_version")).agg(F.sort_array(F.collect_set("pos")).alias("__ef_gone"))
     base = docs.drop(*(c for c in ("n_lines", "n_removed") if c in docs.columns))
     joined = base.join(gone, base[id_col].eqNullSafe(F.col("__ef_id")) & (F.xxhash64(base[text_col]) == F.col("__ef_version")), "left")
-    kept = F.when(F.col("__ef_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__ef_gone"), i)), "\n")
-    )
+    text, gone_at = F.col(text_col), F.col("__ef_gone")
+
+    def without(lines: Column) -> Column:
+        """The parts between removed lines, joined: lines and removed places are each walked once. lines is a bound variable,
+        so the text is split once and not for each part."""
+        begins, ends = F.concat(F.array(F.lit(0)), F.transform(gone_at, lambda p: p + 1)), F.concat(gone_at, F.array(F.size(lines)))
+        parts = F.zip_with(begins, ends, lambda b, e: F.slice(lines, b + 1, e - b))
+        return F.array_join(F.flatten(parts), "\n")
+
+    kept = F.when(gone_at.isNull(), text).otherwise(F.transform(F.array(F.split(text, "\n", -1)), without)[0])
     return joined.select(
         *(kept.alias(c) if c == text_col else F.col(c) for c in base.columns),
         F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),

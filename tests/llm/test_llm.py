@@ -610,3 +610,18 @@ def test_scratch_is_cleared(spark):
     assert kept.count() == 5 and os.path.isdir(common.scratch_dir(spark).removeprefix("file://"))
     common.clear_scratch(spark)
     assert not os.path.isdir(common.scratch_dir(spark).removeprefix("file://"))
+
+
+def test_line_dedup_of_documents_of_many_flagged_lines(spark):
+    """Removal is linear in the lines of a document: this many once took minutes."""
+    import time
+
+    from evalframe.llm import line_dedup
+
+    body = "\n".join(f"line {i}" if i % 50 else f"own {i}" for i in range(40_000))
+    df = spark.createDataFrame([(i, body.replace("own", f"own {i}"), f"s{i}") for i in range(12)], "doc_id long, text string, source string").repartition(4)
+    begin = time.monotonic()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(df).collect()}
+    assert time.monotonic() - begin < 120
+    assert got[0] == (40_000, 0, body.replace("own", "own 0"))
+    assert all(got[i] == (40_000, 39_200, "\n".join(f"own {i} {n}" for n in range(0, 40_000, 50))) for i in range(1, 12))
