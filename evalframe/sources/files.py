@@ -17,7 +17,7 @@ CHUNK = 8 << 20
 
 
 def arrow_uri(path: str) -> str:
-    """A path of Spark's as a URI of Arrow's: s3a becomes s3, a path without a scheme is local. viewfs and the like have none."""
+    """A path of Spark's as a URI of Arrow's: s3a becomes s3, a path without a scheme is local."""
     scheme = urlparse(path).scheme
     if not scheme:
         return f"file://{path}"

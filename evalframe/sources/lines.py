@@ -31,5 +31,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, length) of the files below path; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length")
+    """(file, length) of the files below path, empty ones too; contents are not read.
+
+    Spark's scans leave out empty files, so these come from its listing, which the driver has for any scan.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    sizes = found.select(F.col("_metadata.file_path").alias("file"), "length")
+    names = [f"file:/{f.removeprefix('file:///')}" if f.startswith("file:///") else f for f in found.inputFiles()]  # as file_path spells it
+    listed = spark.createDataFrame([(f,) for f in names], "file string")
+    return listed.join(sizes, "file", "left").select("file", F.coalesce("length", F.lit(0)).alias("length"))
