@@ -1,7 +1,8 @@
 """WARC archives: written by Spark's text writer, read by a Python data source.
 
 A record is its header lines, an empty line and Content-Length bytes of payload, ended by two line ends. That end is
-the text writer's line separator, so archives are written in the JVM to any file system that Spark knows. The reader
+the text writer's line separator, so archives are written in the JVM to any file system that Spark knows; they are read
+from the stores that open_store knows (local, S3 as s3 or s3a, HDFS, GCS, ABFS). The reader
 plans one partition for a run of files, takes predicates on the record type, target and other headers, parses headers
 first, and seeks past payloads of records that do not match or whose payload no column needs (in a compressed file,
 seeking inflates the bytes but neither copies nor decodes them).
@@ -12,13 +13,14 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
+from ..sources.files import open_store
+
 END = "\r\n\r\n"
 #: Columns of the source and the headers that they come from.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Bytes", "refers_to": "WARC-Refers-To", "content_length": "Content-Length"}
@@ -79,13 +81,6 @@ class _Files(InputPartition):
         self.files = files
 
 
-def _filesystem(path: str):
-    """An Arrow file system and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if urlparse(path).scheme else (fs.LocalFileSystem(), path)
-
-
 def parse_headers(block: bytes) -> dict[str, str]:
     """Header names in lower case to values; the version line is skipped."""
     pairs = (line.split(b":", 1) for line in block.split(b"\r\n")[1:] if b":" in line)
@@ -143,7 +138,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[_Files]:
         from pyarrow import fs
 
-        system, top = _filesystem(self.path)
+        system, top = open_store(self.path)
         found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(top, recursive=True)) if f.is_file and not f.base_name.startswith(("_", ".")))
         parts, size = [[]], 0
         for path, n in found:
@@ -156,7 +151,7 @@ class WarcReader(DataSourceReader):
         return [_Files(p) for p in parts if p]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
-        system, _ = _filesystem(self.path)
+        system, _ = open_store(self.path)
         wanted = {c: set(v) for c, v in self.wanted.items()}
         for path in partition.files:
             with system.open_input_file(path) as stream:
