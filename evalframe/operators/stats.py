@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+from .scoring import ratio
+
 #: Distinct values that one task sorts for a percentile.
 PER_RANGE = 20_000
 
-from .scoring import ratio
-
 
 def calibration_input(items: DataFrame, score: str = "confidence") -> DataFrame:
     """Returned rows with a score: (score, correct); invalid rows are incorrect."""
@@ -39,9 +40,13 @@ def running_sums(points: DataFrame, value: str, columns: list[str], descending:
     One row a value. Values are dealt into ranges of about PER_RANGE; ranges' totals give each its offset, so no task
     sorts more than a range. There are at most 1,001 ranges, which is what is broadcast.
     """
-    edges = F.array(*map(F.lit, _range_edges(points, value)))
-    dealt = points.withColumn("__ef_part", F.size(F.filter(edges, lambda e: e <= F.col(value))))
+    points = _stored(points)
+    edges = _range_edges(points, value)
     way = (lambda c: F.desc(c)) if descending else F.asc
+    if not edges:  # no more rows than one range has
+        before = Window.orderBy(way(value)).rowsBetween(Window.unboundedPreceding, -1)
+        return points.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in columns), *(F.sum(c).over(Window.partitionBy()).alias(f"all_{c}") for c in columns))
+    dealt = points.withColumn("__ef_part", _range_of(edges, value))
     totals = dealt.groupBy("__ef_part").agg(*(F.sum(c).alias(f"__ef_{c}") for c in columns))
     up_to, every = Window.orderBy(way("__ef_part")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     totals = totals.select("__ef_part", *(F.coalesce(F.sum(f"__ef_{c}").over(up_to), F.lit(0)).alias(f"__ef_before_{c}") for c in columns), *(F.sum(f"__ef_{c}").over(every).alias(f"all_{c}") for c in columns))
@@ -95,9 +100,14 @@ def weighted_percentile(df: DataFrame, value: str, weight: str, shares: list[flo
     Values are dealt into ranges of about PER_RANGE; totals of ranges tell which one holds a share, and only those are sorted.
     """
     by = by or []
-    points = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("w"))
-    edges = F.array(*map(F.lit, _range_edges(points, value)))
-    points = points.withColumn("part", F.size(F.filter(edges, lambda e: e <= F.col(value))))
+    points = _stored(df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("w")))
+    edges = _range_edges(points, value)
+    if not edges:  # no more rows than one range has
+        way = Window.partitionBy(*by)
+        held = points.withColumns({"cum": F.sum("w").over(way.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("w").over(way)})
+        reached = [F.coalesce(F.min(F.when(F.col("cum") >= s * F.col("all"), F.col(value))), F.max(value)) for s in shares]
+        return held.groupBy(*by).agg(*((F.coalesce(p, F.lit(empty)) if empty is not None else p).alias(f"p{round(s * 100)}") for p, s in zip(reached, shares, strict=True)))
+    points = points.withColumn("part", _range_of(edges, value))
     group = Window.partitionBy(*by)
     ends = F.sum("all").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     totals = points.groupBy(*by, "part").agg(F.sum("w").alias("all")).withColumn("end", ends)  # a row for each group and range
@@ -112,12 +122,33 @@ def weighted_percentile(df: DataFrame, value: str, weight: str, shares: list[flo
     return cumulated.groupBy(*by).agg(*((F.coalesce(p, F.lit(empty)) if empty is not None else p).alias(f"p{round(s * 100)}") for p, s in zip(pick, shares, strict=True)))
 
 
+def _stored(points: DataFrame) -> DataFrame:
+    """points, evaluated once: written to the shared folder and read back."""
+    path = new_folder(points.sparkSession, "points")
+    points.write.parquet(path)
+    return points.sparkSession.read.schema(points.schema).parquet(path)
+
+
 def _range_edges(points: DataFrame, value: str) -> list:
-    """Lower edges of ranges of values that hold about PER_RANGE rows each, at most 1,000 edges."""
-    many = [n / 1000 for n in range(1, 1000)]
-    found = points.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, many, 10_000).alias("edges")).first()
-    step = max(1, round(1000 * PER_RANGE / max(found["n"], 1)))
-    return sorted(set((found["edges"] or [])[step - 1 :: step]))
+    """Lower edges of ranges of values that hold about PER_RANGE rows each, at most 1,000 edges; none for a single range."""
+    n = points.count()
+    if n <= PER_RANGE:
+        return []
+    many = [m / 1000 for m in range(1, 1000)]
+    found = points.agg(F.percentile_approx(value, many, 10_000).alias("edges")).first()["edges"]
+    return sorted(set((found or [])[max(1, round(1000 * PER_RANGE / n)) - 1 :: max(1, round(1000 * PER_RANGE / n))]))
+
+
+def _range_of(edges: list, value: str) -> Column:
+    """How many edges a value has reached, by halving: ten comparisons for a thousand edges."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(value) >= F.lit(edges[middle]), among(middle + 1, high)).otherwise(among(low, middle))
+
+    return among(0, len(edges))
 
 
 def bad_weights(df: DataFrame, weight: str) -> DataFrame:

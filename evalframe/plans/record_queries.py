@@ -403,12 +403,12 @@ ladder = lambda rules, end: "CASE " + " ".join(f"WHEN {cond} THEN '{k}'" for k,
 of_map = lambda key, pairs: f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + " END"
 SUBJECTS = ["MFA push denied", "My account locked", "Access denied", "SCIM provision", "Okta SAML redirect loop", "Something else", "Phishing", "new hire"]
 BODIES = ["all employees", "our department is down", "several users", "I cannot enter", "no idea", "stolen token, everyone"]
-RULED = f"""t AS (SELECT doc_id, {SUBJECTS}[(doc_id % 8 + 1)::INT] AS subject, {BODIES}[(doc_id % 6 + 1)::INT] || ' ' || coalesce(lang, '') || ' ' || substr(coalesce(text, ''), 1, 40) AS body FROM documents), l AS (SELECT *, lower(subject || chr(10) || body) AS low FROM t),
+RULED = f"""t AS (SELECT doc_id, {SUBJECTS}[(doc_id % 8 + 1)::INT] AS subject, {BODIES}[(doc_id % 6 + 1)::INT] || ' ' || coalesce(lang, '') || ' ' || coalesce(text, '') AS body FROM documents), l AS (SELECT *, lower(subject || chr(10) || body) AS low FROM t),
 i AS (SELECT *, {ladder({k: any_of('low', h) for k, h in routing_score.ISSUE_HINTS.items()}, 'OTHER_IAM')} AS issue, {ladder({k: any_of('low', h) for k, h in routing_score.SCOPE_HINTS.items()}, 'UNKNOWN')} AS scope, {any_of('low', routing_score.SECURITY_HINTS)} AS security FROM l)"""
 
 
 def ruled(spark, sf_dir):
-    body = F.concat(by_turn(6, "doc_id", BODIES), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 40))
+    body = F.concat(by_turn(6, "doc_id", BODIES), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
     return docs(spark, sf_dir).select("doc_id", by_turn(8, "doc_id", SUBJECTS).alias("subject"), body.alias("body"))
 
 
@@ -416,7 +416,7 @@ def ruled(spark, sf_dir):
   {of_map('issue', routing_score.TEAM_OF)} AS routing_team, CASE WHEN security THEN 'ESCALATE_SECURITY_REVIEW' ELSE {of_map('issue', routing_score.ACTION_OF)} END AS recommended_action,
   round(CASE WHEN security THEN least(0.68, CASE WHEN issue <> 'OTHER_IAM' THEN 0.82 ELSE 0.52 END - CASE WHEN scope = 'UNKNOWN' THEN 0.12 ELSE 0 END) ELSE CASE WHEN issue <> 'OTHER_IAM' THEN 0.82 ELSE 0.52 END - CASE WHEN scope = 'UNKNOWN' THEN 0.12 ELSE 0 END END, 2)::DOUBLE AS confidence FROM i""")
 def rule_labels(spark, sf_dir):
-    """Tickets made of phrases and documents' beginnings, labelled by the ordered rules."""
+    """Tickets made of phrases and documents' whole texts, labelled by the ordered rules."""
     found = routing_score.rule_label(F.col("subject"), F.col("body"))
     return ruled(spark, sf_dir).select("doc_id", *(found[k].alias(k) for k in ("issue_type", "affected_scope", "severity", "routing_team", "recommended_action", "confidence")))
 
