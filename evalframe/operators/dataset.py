@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..functions.text import normalize_text
+from ..sources.files import open_store
+from ..sources.shared import new_folder
 
-from ..functions.text import contains_literal, normalize_text
+#: Items of one automaton, and their first characters that it holds: at most about 2,000,000 nodes.
+ITEMS, PATTERN = 10_000, 200
 
 
 def duplicates(df: DataFrame, key: str, id_col: str, order: list[str] | None = None) -> DataFrame:
@@ -68,37 +79,61 @@ def validate_dataset(df: DataFrame, id_col: str, key: str, label_key: str, split
     )
 
 
-def containment(docs: DataFrame, items: DataFrame, run: int = 8) -> DataFrame:
+def containment(docs: DataFrame, items: DataFrame, block: int = ITEMS) -> DataFrame:
     """(item_id, doc_id) for documents whose normalised text holds an item's; an empty item is in none.
 
-    An item's first and last word may end inside a document's words, those between are whole. A document must share
-    words 2 to run + 1 of an item, or all inner words if there are fewer. A pair of words is looked up as the end of a
-    word and the start of the next one, a single word among the parts of words that have its length.
+    Items are written in blocks of about block rows; a task reads a block, builds one automaton over the items' first
+    PATTERN characters and walks each document once, whatever the items' lengths. A longer item is then compared whole. So
+    texts are not shuffled, a task holds one block, and documents are walked once for every block of items. Repeated items and
+    documents are each reported as often as they come, a document that holds an item several times once; null texts play no part.
     """
-    split = lambda d, i: d.select(i, normalize_text("text", fold=True).alias("body")).where("body <> ''").withColumn("w", F.split("body", " "))
-    gram = lambda w, at, n: F.xxhash64(F.slice(w, at, n))  # noqa: E731  (runs of words travel as hashes; whole texts are compared at the end)
-    steps = lambda n, f: F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), f)
-    d = split(docs, "doc_id")
-    inner = F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(run))
-    size = lambda at: F.when(inner == 0, F.char_length(F.element_at("w", at))).otherwise(0)
-    known = split(items, "item_id").select("item_id", F.col("body").alias("item"), inner.alias("n"), F.when(F.size("w") == 1, 0).otherwise(size(1)).alias("left"), size(-1).alias("right"), F.when(inner > 0, gram(F.col("w"), 2, inner)).otherwise(F.xxhash64("body")).alias("g"))
-    shapes = known.select("n", "left", "right").distinct().collect()  # runs of 1 to run words; lengths of words in items of one or two
-    words = F.col("w")
-    found = None
-    for n, left, right in shapes:
-        if n:
-            made = d.select("doc_id", F.explode(F.array_distinct(steps(F.size("w") - n + 1, lambda i: gram(words, i, n)))).alias("g"))
-        elif left:
-            ends = lambda i: F.when((F.char_length(F.get(words, i - 1)) >= left) & (F.char_length(F.get(words, i)) >= right), F.xxhash64(F.concat(F.right(F.get(words, i - 1), F.lit(left)), F.lit(" "), F.left(F.get(words, i), F.lit(right)))))
-            made = d.select("doc_id", F.explode(F.array_distinct(F.array_compact(steps(F.size("w") - 1, ends)))).alias("g"))
-        else:
-            each = d.select("doc_id", F.explode(F.array_distinct("w")).alias("x"))
-            made = each.select("doc_id", F.explode(steps(F.char_length("x") - right + 1, lambda i: F.xxhash64(F.substring(F.col("x"), i, F.lit(right))))).alias("g")).distinct()
-        hits = made.join(known.where((F.col("n") == n) & (F.col("left") == left) & (F.col("right") == right)), "g").select("doc_id", "item_id", "item")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return items.select("item_id").crossJoin(docs.select("doc_id")).limit(0)
-    return found.join(d.select("doc_id", "body"), "doc_id").where(contains_literal(F.col("body"), F.col("item"))).select("item_id", "doc_id")
+    bodies = lambda d, i: d.select(i, normalize_text("text", fold=True).alias("body")).where("body <> ''")
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "items")
+    known = bodies(items, "item_id").withColumn("nth", F.monotonically_increasing_id())
+    known.write.parquet(path)
+    stored = spark.read.schema(known.schema).parquet(path)
+    blocks = -(-stored.count() // block)
+    by_block = f"{path}-blocks"
+    stored.withColumn("block", F.pmod(F.xxhash64("nth"), F.lit(max(blocks, 1)))).repartition("block").write.partitionBy("block").parquet(by_block)
+    schema = StructType([StructField("item_id", items.schema["item_id"].dataType), StructField("doc_id", docs.schema["doc_id"].dataType)])
+    found, source = spark.createDataFrame([], schema), bodies(docs, "doc_id")
+    for n in range(blocks):
+        found = found.unionByName(source.mapInArrow(_walker(f"{by_block}/block={n}"), schema))
+    return found
+
+
+def _walker(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work for one block of items: (doc_id, body) to (item_id, doc_id)."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        store, top = open_store(folder)
+        names = [f.path for f in store.get_file_info(fs.FileSelector(top, allow_not_found=True)) if f.base_name.endswith(".parquet")]
+        held = pa.concat_tables([pq.read_table(store.open_input_file(n), columns=["item_id", "body"]) for n in names]) if names else None
+        if held is None or not held.num_rows:
+            return
+        ids, texts = held["item_id"].combine_chunks(), held["body"].to_pylist()
+        starts: dict[str, list[int]] = {}
+        for place, text in enumerate(texts):
+            starts.setdefault(text[:PATTERN], []).append(place)
+        automaton = ahocorasick.Automaton()
+        for start, places in starts.items():
+            automaton.add_word(start, places)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for row, body in enumerate(batch.column(1)):
+                text, seen = body.as_py(), set()
+                for _, places in automaton.iter(text):
+                    seen.update(places)
+                true = [p for p in sorted(seen) if len(texts[p]) <= PATTERN or texts[p] in text]
+                rows += [row] * len(true)
+                hits += true
+            if rows:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(hits)), batch.column(0).take(pa.array(rows))], names=["item_id", "doc_id"])
+
+    return walk
 
 
 def full_diff(declared: DataFrame, actual: DataFrame, keys: list[str], value: str) -> DataFrame:

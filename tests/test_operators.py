@@ -184,6 +184,8 @@ def test_containment(spark):
     got = [tuple(r) for r in dataset.containment(frame(docs, "doc_id"), frame(items, "item_id")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {i for i, _ in want} >= set(range(1, 11)) | set(range(21, 31))
+    several = dataset.containment(frame(docs, "doc_id"), frame(items, "item_id"), block=2)  # more than one automaton
+    assert sorted(tuple(r) for r in several.collect()) == sorted(got)
     assert dataset.containment(frame(docs, "doc_id"), frame(items, "item_id").limit(0)).count() == 0
 
 
