@@ -176,3 +176,12 @@ def test_paths_of_other_stores():
     assert files.open_store("file:///tmp/a%20b")[1] == "/tmp/a b"
     with pytest.raises(ValueError, match="unknown"):
         files.open_store("unknown://store/x")
+
+
+@pytest.mark.parametrize("name", ["line_numbers", "merged_windows", "retained_events", "closed_windows", "quarantined_stream"])
+def test_queries_on_no_events(spark, tmp_path, name):
+    from evalframe.plans.stream_queries import QUERIES
+
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame([], columns).write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
