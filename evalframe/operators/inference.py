@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .model_process import ModelProcesses
+
 OUTCOME = "raw_prediction string, error_kind string, error_message string, retriable boolean, latency_ms double, input_tokens long, output_tokens long, model_version string"
 
 
@@ -29,27 +30,17 @@ def _typed(rows: list[dict], names: list[str], ids: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def _within(seconds: float | None, call: Callable[[], dict]) -> dict | None:
-    """What call returns, or null if it takes longer; what still runs then is left to itself."""
-    if seconds is None:
-        return call()
-    box: list[dict] = []
-    thread = threading.Thread(target=lambda: box.append(call()), daemon=True)
-    thread.start()
-    thread.join(seconds)
-    return box[0] if box else None
-
-
-def run_model(df: DataFrame, make_model: Callable[[], Callable[[dict], dict]], id_col: str, input_cols: list[str], time_limit: float | None = None) -> DataFrame:
+def run_model(df: DataFrame, make_model: Callable[[], Callable[[dict], dict]], id_col: str, input_cols: list[str], time_limit: float | None = None, processes: int = 1, retries: int = 0) -> DataFrame:
     """Call a model on each row: (id_col and OUTCOME).
 
     make_model runs once for each partition and gives a function from a row's inputs to a dict with raw_prediction and
     optional accounting. InvalidOutput keeps the raw text; a TimeoutError or any other exception becomes a typed error.
-    A failing row never fails its task. With time_limit (seconds, above 0), a call that takes longer is a timeout, and the
-    next row goes on while it still runs in the background.
+    A failing row never fails its task. With time_limit (seconds, above 0), calls run in up to processes processes a task,
+    each with a model of its own: a call that takes longer is killed and a timeout, a call whose process dies is an
+    adapter_error (ProcessDied), and either is called up to retries times more. A killed process is replaced by a new one.
     """
-    if time_limit is not None and time_limit <= 0:
-        raise ValueError("time_limit must be above 0")
+    if time_limit is not None and (time_limit <= 0 or processes < 1 or retries < 0):
+        raise ValueError("time_limit must be above 0, processes at least 1, retries not negative")
     names = [f.split()[0] for f in OUTCOME.split(", ")]
     schema = StructType([df.schema[id_col], *StructType.fromDDL(OUTCOME).fields])
 
@@ -65,14 +56,25 @@ def run_model(df: DataFrame, make_model: Callable[[], Callable[[dict], dict]], i
             out = {"error_kind": "adapter_error", "error_message": type(e).__name__, "retriable": False}
         return {"latency_ms": (time.perf_counter() - start) * 1000} | out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make_call() -> Callable[[dict], dict]:
         model = make_model()
+        return lambda row: call(model, row)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answer = make_call()
         for batch in batches:
-            late = {"error_kind": "timeout", "error_message": "TimeoutError", "retriable": True, "latency_ms": (time_limit or 0) * 1000}
-            rows = [_within(time_limit, lambda r=r: call(model, r)) or late for r in batch[input_cols].to_dict("records")]
-            yield _typed(rows, names, batch[id_col])
+            yield _typed([answer(r) for r in batch[input_cols].to_dict("records")], names, batch[id_col])
+
+    modules = [m for m in (__name__, getattr(make_model, "__module__", None)) if m and m != "__main__"]
+
+    def run_limited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        late = {"error_kind": "timeout", "error_message": "TimeoutError", "retriable": True, "latency_ms": time_limit * 1000}
+        lost = {"error_kind": "adapter_error", "error_message": "ProcessDied", "retriable": True}
+        with ModelProcesses(make_call, time_limit, processes, modules) as pool:
+            for batch in batches:
+                yield _typed(pool.answers(batch[input_cols].to_dict("records"), late, lost, retries), names, batch[id_col])
 
-    return df.select(*dict.fromkeys([id_col, *input_cols])).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([id_col, *input_cols])).mapInPandas(run if time_limit is None else run_limited, schema)
 
 
 JUDGMENT = "status string, relevant boolean, unsupported boolean, score double, error_kind string"

@@ -207,3 +207,60 @@ def test_template_expansion(spark):
     assert len({by[i].submitted_at for i in range(12)}) == 12
     with pytest.raises(ValueError):
         expand_templates(df, "n", **how, stride=60)
+
+
+def test_killed_calls(spark):
+    """Hanging and dying calls end in bounded time, leave no process behind, and retries reach the model again."""
+    import os
+    import time
+
+    from evalframe.operators.inference import run_model
+
+    def make():
+        def model(row):
+            n = row["n"]
+            if n % 4 == 1:
+                time.sleep(3600)
+            if n % 4 == 2:
+                os._exit(1)
+            if n % 4 == 3 and not os.path.exists(row["mark"]):
+                open(row["mark"], "w").close()
+                time.sleep(3600)
+            return {"raw_prediction": f"{n}:{os.getpid()}"}
+
+        return model
+
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    df = spark.createDataFrame([(i, i, f"{folder}/{i}") for i in range(40)], "id int, n int, mark string").repartition(4)
+    start = time.time()
+    got = {r.id: r for r in run_model(df, make, "id", ["n", "mark"], time_limit=0.5, processes=3, retries=1).collect()}
+    assert time.time() - start < 60 and len(got) == 40
+    for i, r in got.items():
+        kind = (None, "timeout", "adapter_error", None)[i % 4]
+        assert r.error_kind == kind and (r.raw_prediction is None) == (kind is not None), (i, r)
+    pids = {int(r.raw_prediction.split(":")[1]) for r in got.values() if r.raw_prediction}
+    assert os.getpid() not in pids
+    deadline = time.time() + 5
+    while time.time() < deadline and any(os.path.exists(f"/proc/{p}") for p in pids):
+        time.sleep(0.1)
+    assert not any(os.path.exists(f"/proc/{p}") for p in pids)
+    assert run_model(df.limit(0), make, "id", ["n", "mark"], time_limit=1.0).count() == 0
+
+
+def test_many_hanging_calls(spark):
+    """A thousand calls that hang in native code end in about their limits' sum over the processes."""
+    import time
+
+    from evalframe.operators.inference import run_model
+
+    def make():
+        import ctypes
+
+        return lambda row: ctypes.CDLL(None).pause()
+
+    start = time.time()
+    out = run_model(spark.range(1000).repartition(4), make, "id", ["id"], time_limit=0.05, processes=4)
+    assert {r.error_kind: r["count"] for r in out.groupBy("error_kind").count().collect()} == {"timeout": 1000}
+    assert time.time() - start < 90
