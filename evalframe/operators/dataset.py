@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import normalize_text
 from ..sources.files import open_store
 from ..sources.shared import new_folder
+from .numbering import with_neighbours
 
 #: Items of one automaton, and their first characters that it holds: at most about 2,000,000 nodes.
 ITEMS, PATTERN = 10_000, 200
@@ -22,11 +23,13 @@ ITEMS, PATTERN = 10_000, 200
 def duplicates(df: DataFrame, key: str, id_col: str, order: list[str] | None = None) -> DataFrame:
     """Rows whose key came before, with the row before and the first one: (key, id, previous_id, first_id).
 
-    One shuffle by key and one evaluation of df, whose key may come from a costly expression. A null key repeats nothing.
+    df is evaluated once. Rows are dealt by ranges of key and order, so a key that holds any share of the rows is spread
+    (numbering.with_neighbours). A null key repeats nothing, and a row after one with a null id is not reported.
     """
-    seen = Window.partitionBy(key).orderBy(*(order or [id_col]))
-    placed = df.where(F.col(key).isNotNull()).select(key, F.col(id_col).alias("id"), F.lag(id_col).over(seen).alias("previous_id"), F.first(id_col).over(seen).alias("first_id"))
-    return placed.where(F.col("previous_id").isNotNull())
+    way = order or [id_col]
+    named = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *(F.col(c).alias(f"o{n}") for n, c in enumerate(way)), F.col(id_col).alias("v"))
+    placed = with_neighbours(named, "k", [f"o{n}" for n in range(len(way))], "v")
+    return placed.where("previous IS NOT NULL").select(F.col("k").alias(key), F.col("v").alias("id"), F.col("previous").alias("previous_id"), F.col("first").alias("first_id"))
 
 
 def conflicts(df: DataFrame, key: str, label_key: str, id_col: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dataset import prefix_digest
+from .numbering import numbered
 
 #: The label of a token that is not learned from.
 IGNORE = -100
@@ -89,12 +90,13 @@ def corpus_digest(df: DataFrame, id_col: str) -> DataFrame:
 def pad_batches(df: DataFrame, order_col: str, batch_size: int, pad_id: int, multiple: int = 8, groups: str | None = None) -> DataFrame:
     """Right-pad tokens and labels to their batch's longest, rounded up to a multiple.
 
-    Batches are consecutive rows by order_col within groups (a shard of the corpus); without groups all rows are numbered
-    in one task, which suits small tables only.
+    Batches are consecutive rows by order_col, within groups (a shard of the corpus) if given. Rows are numbered over
+    ranges (numbering.numbered), so neither a table nor a group passes one task; only a batch does. order_col should tell
+    rows apart.
     """
     by = [groups] if groups else []
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order_col))
-    out = df.withColumn("batch", F.floor((place - 1) / batch_size).cast("long"))
+    out = numbered(df, [order_col], "__ef_place", groups)
+    out = out.withColumn("batch", F.floor(F.col("__ef_place") / batch_size).cast("long")).drop("__ef_place")
     longest = F.max(F.size("tokens")).over(Window.partitionBy(*by, "batch"))
     out = out.withColumn("width", (F.ceil(longest / multiple) * multiple).cast("int"))
     fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.col("width") - F.size(c)))
