@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import routing_score, text
-from ..operators import contracts, costs, dataset, experiments, judge, regression, routing, scoring, sft
+from ..operators import contracts, costs, dataset, experiments, judge, regression, routing, scoring, sft, subwords
 from ..sources import files, jsonl, published, review
 from ..sources.shared import new_folder
 from ..streaming import telemetry
@@ -481,6 +481,34 @@ def mask_audit_of_broken_rows(spark, sf_dir):
     return sft.audit_masks(masked(spark, sf_dir).withColumn("labels", broken), "prompt", "response").select("rows", "bad_rows")
 
 
+#: A public byte-level tokenizer; any file of its kind takes its place.
+SUBWORDS = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def subword_masked(spark, sf_dir):
+    prompt, response = sft.render(F.col("messages"))
+    rows = sft.conversations(table(spark, sf_dir, "conversations")).select("conv_id", prompt.alias("prompt"), response.alias("response"))
+    return subwords.response_only(rows, "prompt", "response", subwords.read_rules(SUBWORDS))
+
+
+@query(f"WITH {TOKENS} SELECT conv_id, (length(coalesce(p0, '')) + 13 + length(r))::INT AS covered_chars, length(r)::INT AS learned_chars, 0::INT AS leaked_tokens, length(r) = 0 AS no_label, false AS was_truncated, false AS lost_response FROM a")
+def sft_subword_masks(spark, sf_dir):
+    """Response-only labels on subwords: every character of the answer is learned, no token that ends before it is."""
+    out = subwords.learned_characters(subword_masked(spark, sf_dir), "prompt")
+    return out.select(
+        "conv_id", F.element_at("offsets", -1)["end"].alias("covered_chars"), "learned_chars", "leaked_tokens", (F.col("supervised_tokens") == 0).alias("no_label"), "was_truncated", "lost_response"
+    )
+
+
+@query(f"WITH {TOKENS} SELECT count(*) AS rows, count(*) FILTER (conv_id % 5 = 0 OR (conv_id % 5 = 1 AND length(r) > 0)) AS bad_rows FROM a")
+def sft_subword_audit(spark, sf_dir):
+    """The audit by offsets on masks of which some learn from the prompt and some ignore the answer."""
+    first = F.transform("labels", lambda x, i: F.when(i == 0, F.element_at("tokens", 1)).otherwise(x))
+    none = F.transform("labels", lambda x: F.lit(sft.IGNORE))
+    broken = F.when(F.col("conv_id") % 5 == 0, first).when(F.col("conv_id") % 5 == 1, none).otherwise(F.col("labels"))
+    return subwords.audit(subword_masked(spark, sf_dir).withColumn("labels", broken), "prompt", "response").select("rows", "bad_rows")
+
+
 PROMPT = "version: 1\nSYSTEM:\nLabel the ticket.\nUSER:\nTicket: {ticket_json}\nSchema: {schema_json}\n"
 
 
