@@ -33,8 +33,9 @@ class SortedLists:
     """The candidates of one block, with a sorted list for each dimension. Whole numbers that single floats hold exactly stay in them."""
 
     def __init__(self, values: np.ndarray, ids: np.ndarray, largest_query: float) -> None:
-        exact = values.shape[1] * largest_query * float(np.abs(values).max(initial=0)) < 1 << 24
-        self.kind = np.float32 if exact else np.float64
+        largest = values.shape[1] * largest_query * float(np.abs(values).max(initial=0))
+        self.kind = np.float32 if largest < 1 << 24 else np.float64
+        self.plain, self.wide = largest >= 1 << 51, largest >= 1 << 62  # bounds in doubles would err; sums may leave 64 bits
         self.values, self.whole, self.ids, self.order = values.astype(self.kind), values, ids, np.argsort(values, axis=0, kind="stable")
         self.lowest, self.highest = self.values.min(0), self.values.max(0)
 
@@ -56,7 +57,7 @@ class SortedLists:
         mine, reach, open_ones, start = self.ids[:, None] == own[None, :], reach.astype(np.float64), np.arange(len(queries)), 0
         top, bottom = np.full(self.values.shape, np.nan, self.kind), np.full(self.values.shape, np.nan, self.kind)
         dims = np.arange(self.values.shape[1])
-        for share in DEPTHS if n > 4 * k else ():
+        for share in DEPTHS if n > 4 * k and not self.plain else ():
             depth = int(n * share)
             self._read(top, bottom, start, depth)
             start = depth
@@ -82,12 +83,20 @@ class SortedLists:
         out = []
         for q, alive in enumerate(found):
             alive = np.flatnonzero(~mine[:, q]) if alive is None else alive
-            scores = self.whole[alive] @ queries[q]
+            scores = _products(self.whole[alive], queries[q]) if self.wide else self.whole[alive] @ queries[q]
             best = np.lexsort((self.ids[alive], -scores))[:k]
             out.append((alive[best], scores[best], int(depths[q])))
         return out
 
 
+def _products(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in integers of any size; one that is no 64-bit number is an error."""
+    found = values.astype(object) @ query.astype(object)
+    if any(abs(x) >= 1 << 63 for x in found):
+        raise OverflowError("a score does not fit into 64 bits")
+    return found.astype(np.int64)
+
+
 def _growing(n: int, seen: int) -> Iterator[slice]:
     """Slices of n rows that grow with what has been seen before."""
     start = 0
@@ -105,8 +114,13 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id"
     rows with a null id, and vectors only meet vectors of their length. Repeated query ids count once (their smallest
     vector), repeated candidate rows once each. Every query meets every candidate. with_depth adds read, the share of
     its lists that a query's search in the row's part read, entry by entry, before it could stop.
+
+    Scores are exact whatever the components' size; a component or a score that does not fit into 64 bits is an error.
+    Blocks whose products may reach 2^51 are scored without bounds, which doubles could not hold exactly.
     """
-    whole = F.transform("vec", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    scaled = lambda x: x.cast("double") * scale
+    outside = lambda x: (F.abs(scaled(x)) >= 2.0**63) & (F.abs(scaled(x)) < float("inf"))
+    whole = F.transform("vec", lambda x: F.when(outside(x), F.raise_error("a component does not fit into 64 bits").cast("long")).otherwise(F.floor(scaled(x)).cast("long")))
     able = lambda x: valid_vectors(x, id_col, vec_col).where("id IS NOT NULL").select("id", whole.alias("vec"), F.size("vec").alias("dims"))
     cand, asked = stash(able(df)), stash(able(queries).groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dims", F.size("vec")))
     c_blocks, q_blocks = -(-cand.count() // candidate_block) or 1, -(-asked.count() // query_block) or 1

@@ -53,9 +53,13 @@ def _clean(value) -> F.Column:
     return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\x00-\x1F\x7F]+", " ")
 
 
-def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 50_000, compression: str = "gzip") -> None:
+def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 50_000, bytes_per_file: int = 256 << 20, compression: str = "gzip") -> None:
     """Write planned records as WARC/1.0 files under path, compressed unless compression is none. Revisits carry headers only.
 
+    A file holds records_per_file records at most, and either bytes_per_file bytes of payloads at most or one record: records
+    are graded by size, each grade with payloads up to twice as long as the one before and half as many to a run. A task
+    cuts its rows into such runs by counting them, so no row moves to another task, and each run and grade is a folder.
+
     Header values stay on one line: control characters become spaces. A null id or url is an empty value; no records
     give a folder without any; repeated records are written as often as they come.
     """
@@ -72,7 +76,11 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)
-    records.select(record.alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    grade = F.greatest(F.lit(0), F.ceil(F.log2(F.octet_length(body) / (bytes_per_file / records_per_file)))).cast("int")  # log2 of 0 is null
+    run = F.greatest(F.lit(1), F.floor(F.lit(records_per_file) / F.pow(F.lit(2), grade)))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its task
+    cut = F.concat(grade.cast("string"), F.lit("-"), F.floor(place / run).cast("string"))
+    records.select(record.alias("value"), cut.alias("run")).write.option("lineSep", END).option("compression", compression).partitionBy("run").text(path)
 
 
 class _Files(InputPartition):
@@ -150,7 +158,9 @@ class WarcReader(DataSourceReader):
             size += n
         return [_Files(p) for p in parts if p]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
+    def read(self, partition: _Files | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's call for a folder without files
+            return
         system, _ = open_store(self.path)
         wanted = {c: set(v) for c, v in self.wanted.items()}
         for path in partition.files:

@@ -625,3 +625,84 @@ def test_line_dedup_of_documents_of_many_flagged_lines(spark):
     assert time.monotonic() - begin < 120
     assert got[0] == (40_000, 0, body.replace("own", "own 0"))
     assert all(got[i] == (40_000, 39_200, "\n".join(f"own {i} {n}" for n in range(0, 40_000, 50))) for i in range(1, 12))
+
+
+def test_warc_files_are_cut_by_bytes(spark, tmp_path):
+    sizes = [10, 90, 300, 0, 100, 5_000, 20, 30, 100, 100, 100, 700, 40, 100_000, 3_000] * 20
+    rows = [(i, f"http://a/{i}", chr(97 + i % 26) * n + str(i).zfill(4) if n else None) for i, n in enumerate(sizes)]
+    planned = warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2))
+    warc.write_warc(planned, str(tmp_path / "w"), records_per_file=10, bytes_per_file=1_000)
+    got = warc.read_warc(spark, str(tmp_path / "w")).selectExpr("record_id", "octet_length(payload) AS n", "payload").collect()
+    assert {r.record_id: bytes(r.payload).decode() for r in got} == {f"<urn:page:{i}>": t or "" for i, _, t in rows} and len(got) == len(rows)
+    import gzip
+
+    for path in (tmp_path / "w").rglob("*.gz"):
+        lengths = [int(line.split(b":")[1]) for line in gzip.decompress(path.read_bytes()).split(b"\r\n") if line.startswith(b"Content-Length:")]
+        assert 1 <= len(lengths) <= 10 and (sum(lengths) <= 1_000 or len(lengths) == 1)
+
+
+@pytest.mark.parametrize("scale", [1e6, 3e7])
+def test_top_k_of_large_components(spark, scale):
+    """Scores near the end of 64 bits are exact; beyond it they are refused, not wrapped."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.uniform(-scale, scale, 2)]) for i in range(120)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=5).collect()
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors}
+    for q in range(0, 120, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == best
+    for value in (1e9, 1e300):
+        beyond = spark.createDataFrame([(0, [value, value]), (1, [value, value])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="fit into 64 bits"):
+            topk.top_k(beyond, beyond, k=1).collect()
+
+
+def test_mix_layout_follows_the_tree(spark):
+    """The layout against a plain walk: a source's block copies, in drawn order, are dealt to shards along its leaf quotas."""
+    words = [1 + (7 * i) % 40 for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), None if i % 11 == 0 else f"s{i % 4 if i % 3 else 0}") for i, n in enumerate(words)], "doc_id long, text string, source string")
+    seed, shards = 7, 16
+    plan = mixing.plan_mix(docs, shards=shards, seed=seed).collect()
+
+    def h(*parts):
+        return int(hashlib.md5(":".join("null" if p is None else str(p) for p in parts).encode()).hexdigest()[:15], 16)
+
+    names = sorted({r.source for r in plan if r.source is not None}) + [None]
+    total = sum(words)
+    taken, dealt = {}, {}
+    for r in plan:
+        place = names.index(r.source) + 1
+        n = max(mixing.LEAST_BLOCKS, -(-r.source_size // max(1, -(-total // mixing.BLOCKS))))
+        key = (place, h(seed, r.doc_id) % n)
+        assert dealt.setdefault(key, r.takes) == r.takes  # a block goes whole
+        for t in r.takes:
+            taken[(*key, t.copy)] = t.shard
+    for place in range(1, len(names) + 1):
+        mine = sorted((k for k in taken if k[0] == place), key=lambda k: (h(seed, "draw", *k), k[1], k[2]))
+        assert [taken[k] for k in mine] == sorted(taken[k] for k in mine)
+    quotas = spark.createDataFrame([(p, sum(k[0] == p for k in taken)) for p in range(1, len(names) + 1)], "place int, q long")
+    leaves = {(r.place, r.shard): r.q for r in mixing.split_quotas(quotas, shards, seed).collect()}
+    for place in range(1, len(names) + 1):
+        for shard in range(shards):
+            assert sum(k[0] == place and s == shard for k, s in taken.items()) == leaves[place, shard]
+    per_shard = [sum(s == n for s in taken.values()) for n in range(shards)]
+    assert max(per_shard) - min(per_shard) <= 1
+
+
+def test_tree_draws_the_hypergeometric_law(spark):
+    """Left counts of one source over many trees against the exact law of drawing without replacement."""
+    from math import comb
+
+    seeds, (a, b) = 25, (9, 15)
+    quotas = spark.createDataFrame([(1, a), (2, b)], "place int, q long")
+    seen = [0] * (a + 1)
+    for seed in range(seeds):
+        found = {(r.place, r.shard): r.q for r in mixing.split_quotas(quotas, 2, seed).collect()}
+        assert found[1, 0] + found[2, 0] == (a + b) // 2 and found[1, 0] + found[1, 1] == a
+        seen[found[1, 0]] += 1
+    law = [comb(a, x) * comb(b, 12 - x) / comb(a + b, 12) for x in range(a + 1)]
+    n = sum(seen)
+    mean, want = sum(x * c for x, c in enumerate(seen)) / n, sum(x * p for x, p in enumerate(law))
+    spread = (sum(p * (x - want) ** 2 for x, p in enumerate(law)) / n) ** 0.5
+    assert abs(mean - want) < 4 * spread and all(law[x] > 1e-4 for x, c in enumerate(seen) if c)
