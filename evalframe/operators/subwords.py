@@ -21,7 +21,7 @@ from .sft import IGNORE
 
 #: Where a text may be cut, and characters after which the next such place is taken.
 CUT, STRETCH = re.compile(r"(?<=\S) (?=\S)"), 1 << 17
-TOKEN = "array<struct<id:int,start:int,end:int>>"
+ENCODED = "tokens array<struct<id:int,start:int,end:int>>, begin int"
 
 
 @lru_cache(maxsize=2)
@@ -44,11 +44,12 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[tuple[int, str]]:
         start = end
 
 
-def _encoded(texts: pa.Array, rules: str) -> pa.Array:
-    tokenizer, parts, ends = _tokenizer(rules), [np.zeros((0, 3), np.int32)], [0]
-    for text in texts:
-        held = 0
-        for at, part in stretches(text.as_py() or ""):
+def _encoded(prompts: pa.Array, responses: pa.Array, rules: str) -> pa.Array:
+    tokenizer, parts, ends, begins = _tokenizer(rules), [np.zeros((0, 3), np.int32)], [0], []
+    for prompt, response in zip(prompts, responses, strict=True):
+        before, held = prompt.as_py() or "", 0
+        begins.append(len(before))
+        for at, part in stretches(before + (response.as_py() or "")):
             e = tokenizer.encode(part, add_special_tokens=False)
             if len(e.ids):
                 parts.append(np.column_stack([np.array(e.ids, np.int32), np.array(e.offsets, np.int32) + at]).astype(np.int32))
@@ -56,19 +57,25 @@ def _encoded(texts: pa.Array, rules: str) -> pa.Array:
         ends.append(ends[-1] + held)
     table = np.concatenate(parts)
     rows = pa.StructArray.from_arrays([pa.array(table[:, n]) for n in range(3)], names=["id", "start", "end"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows), pa.array(begins, pa.int32())], names=["tokens", "begin"])
 
 
-def subword_tokens(text: Column, rules: str) -> Column:
-    """Ids with the code points (start, end) that they cover; a null or empty text has none. rules: the tokenizer file's text.
+def subword_tokens(prompt: Column, response: Column, rules: str) -> Column:
+    """(tokens, begin) of prompt and response as one text: ids with the code points (start, end) that they cover, and the prompt's length.
 
-    Tokens that share a character, as the bytes of a rare one do, carry the same place.
+    Null parts are empty; an empty text has no tokens. rules: the tokenizer file's text. Tokens that share a character, as
+    the bytes of a rare one do, carry the same place.
     """
 
-    def run(texts: pa.Array) -> pa.Array:
-        return _encoded(texts, rules)
+    def run(prompts: pa.Array, responses: pa.Array) -> pa.Array:
+        return _encoded(prompts, responses, rules)
 
-    return F.arrow_udf(run, TOKEN)(text)
+    return F.arrow_udf(run, ENCODED)(prompt, response)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once; inside a lambda, Spark would compute an outer expression for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def read_rules(path: str) -> str:
@@ -84,33 +91,33 @@ def response_only(df: DataFrame, prompt: str, response: str, rules: str, max_tok
     response; a token over both is learned. Without max_tokens nothing is cut; a response that is cut off whole is lost,
     which training must refuse. Null parts are empty.
     """
-    p, r = (F.coalesce(F.col(c), F.lit("")) for c in (prompt, response))
-    out = df.withColumn("__ef_all", subword_tokens(F.concat(p, r), rules))
-    kept = F.col("__ef_all") if max_tokens is None else F.slice("__ef_all", 1, max_tokens)
-    out = out.withColumns({"__ef_kept": kept, "__ef_from": F.char_length(p)})
-    learned = lambda t: t["end"] > F.col("__ef_from")
+    out = df.withColumn("__ef", subword_tokens(F.col(prompt), F.col(response), rules))
+    every, begin = F.col("__ef.tokens"), F.col("__ef.begin")
+    kept = every if max_tokens is None else F.slice(every, 1, max_tokens)
+    learned = lambda t: t["end"] > begin
     out = out.withColumns({
-        "tokens": F.col("__ef_kept.id"),
-        "offsets": F.transform("__ef_kept", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))),
-        "labels": F.transform("__ef_kept", lambda t: F.when(learned(t), t["id"]).otherwise(F.lit(IGNORE))),
-        "boundary": F.size(F.filter("__ef_all", lambda t: ~learned(t))),
-        "supervised_tokens": F.size(F.filter("__ef_kept", learned)),
-        "was_truncated": F.size("__ef_kept") < F.size("__ef_all"),
+        "tokens": F.transform(kept, lambda t: t["id"]),
+        "offsets": F.transform(kept, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))),
+        "labels": F.transform(kept, lambda t: F.when(learned(t), t["id"]).otherwise(F.lit(IGNORE))),
+        "boundary": F.size(F.filter(every, lambda t: ~learned(t))),
+        "supervised_tokens": F.size(F.filter(kept, learned)),
+        "was_truncated": F.size(kept) < F.size(every),
     })
-    return out.withColumn("lost_response", (F.col("supervised_tokens") == 0) & (r != "")).drop("__ef_all", "__ef_kept", "__ef_from")
+    return out.withColumn("lost_response", (F.col("supervised_tokens") == 0) & (F.coalesce(F.col(response), F.lit("")) != "")).drop("__ef")
 
 
 def learned_characters(df: DataFrame, prompt: str) -> DataFrame:
     """df plus learned_chars, the response's characters under learned tokens, and leaked_tokens, learned ones that end before it."""
     n = F.char_length(F.coalesce(F.col(prompt), F.lit("")))
-    spans = F.filter(F.arrays_zip("offsets", "labels"), lambda x: x["labels"] != IGNORE)
-    places = F.col("__ef_spans.offsets")
-    first, last = F.array_min(places["start"]), F.array_max(places["end"])
-    out = df.withColumn("__ef_spans", spans)
-    return out.withColumns({
-        "learned_chars": F.when(F.size("__ef_spans") > 0, F.greatest(last - F.greatest(first, n), F.lit(0))).otherwise(F.lit(0)),
-        "leaked_tokens": F.size(F.filter(places, lambda o: o["end"] <= n)),
-    }).drop("__ef_spans")
+    spans = F.transform(F.filter(F.arrays_zip("offsets", "labels"), lambda x: x["labels"] != IGNORE), lambda x: x["offsets"])
+
+    def measured(x):
+        first, last = F.array_min(x["spans"])["start"], F.array_max(F.transform(x["spans"], lambda o: o["end"]))
+        reached = F.when(F.size(x["spans"]) > 0, F.greatest(last - F.greatest(first, x["n"]), F.lit(0))).otherwise(F.lit(0))
+        return F.struct(reached.alias("learned"), F.size(F.filter(x["spans"], lambda o: o["end"] <= x["n"])).alias("leaked"))
+
+    out = df.withColumn("__ef", _bound(F.struct(spans.alias("spans"), n.alias("n")), measured))
+    return out.withColumns({"learned_chars": F.col("__ef.learned"), "leaked_tokens": F.col("__ef.leaked")}).drop("__ef")
 
 
 def audit(df: DataFrame, prompt: str, response: str) -> DataFrame:
@@ -122,16 +129,21 @@ def audit(df: DataFrame, prompt: str, response: str) -> DataFrame:
     """
     n = F.char_length(F.coalesce(F.col(prompt), F.lit("")))
     whole = n + F.char_length(F.coalesce(F.col(response), F.lit("")))
-    learned = F.transform("labels", lambda x: x != IGNORE)
-    start = F.array_position(learned, True).cast("int")
-    size = F.size("labels")
-    tail = F.slice("labels", F.greatest(start, F.lit(1)), size)
-    reach = F.when(size > 0, F.element_at("offsets", -1)["end"]).otherwise(F.lit(0))
-    gapless = F.aggregate("offsets", F.struct(F.lit(0).alias("end"), F.lit(True).alias("ok")), lambda a, o: F.struct(o["end"].alias("end"), (a["ok"] & (o["start"] <= a["end"]) & (o["end"] >= a["end"])).alias("ok")))["ok"]
-    over = F.try_element_at("offsets", F.when(start > 0, start))
-    before = F.try_element_at("offsets", F.when(start > 1, start - 1))
-    right_place = F.when(start == 0, reach <= n).otherwise((over["end"] > n) & (over["start"] <= n) & (F.coalesce(before["end"], F.lit(0)) <= n))
-    right_tail = (start == 0) | ((F.size(tail) == size - start + 1) & (tail == F.slice("tokens", F.greatest(start, F.lit(1)), size)) & ~F.array_contains(tail, IGNORE))
-    complete = F.col("was_truncated") | (reach == whole)
-    ok = (size == F.size("tokens")) & (size == F.size("offsets")) & gapless & right_place & right_tail & complete
+
+    def good(x):
+        n, start, size = x["n"], x["start"], F.size(x["labels"])
+        tail = lambda c: F.slice(x[c], F.greatest(start, F.lit(1)), F.size(x[c]))
+        reach = F.when(size > 0, F.element_at(x["offsets"], -1)["end"]).otherwise(F.lit(0))
+        step = lambda a, o: F.struct(o["end"].alias("end"), (a["ok"] & (o["start"] <= a["end"]) & (o["end"] >= a["end"])).alias("ok"))
+        gapless = F.aggregate(x["offsets"], F.struct(F.lit(0).alias("end"), F.lit(True).alias("ok")), step)["ok"]
+        over = F.try_element_at(x["offsets"], F.when(start > 0, start))
+        before = F.try_element_at(x["offsets"], F.when(start > 1, start - 1))
+        right_place = F.when(start == 0, reach <= n).otherwise((over["end"] > n) & (over["start"] <= n) & (F.coalesce(before["end"], F.lit(0)) <= n))
+        right_tail = (start == 0) | ((tail("labels") == tail("tokens")) & ~F.array_contains(tail("labels"), IGNORE))
+        complete = x["cut"] | (reach == x["whole"])
+        return (size == F.size(x["tokens"])) & (size == F.size(x["offsets"])) & gapless & right_place & right_tail & complete
+
+    row = F.struct("tokens", "labels", "offsets", F.col("was_truncated").alias("cut"), n.alias("n"), whole.alias("whole"))
+    first = lambda x: F.array_position(F.transform(x["labels"], lambda y: y != IGNORE), True).cast("int")
+    ok = _bound(row, lambda x: _bound(F.struct(*(x[c].alias(c) for c in ("tokens", "labels", "offsets", "cut", "n", "whole")), first(x).alias("start")), good))
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("bad_rows"), F.count_if("was_truncated").alias("truncated"), F.sum("supervised_tokens").alias("supervised_tokens"))
