@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,17 +46,44 @@ def normalize_text(text: Column | str, fold: bool = False) -> Column:
 _SEAM = "\uE000"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being evaluated a single time for each row however often use names it.
+
+    Spark writes a Column out wherever it is named, so nested uses multiply; a lambda's argument is evaluated once. Python
+    functions may stand in value, not in use.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def join_items(items: Column) -> Column:
+    """An array's texts in one string, each after a seam; null entries go, a null array stays null."""
+    return F.array_join(F.concat(F.array(F.lit("")), items), _SEAM)
+
+
+def fold_joined(joined: Column, fold: bool = False) -> Column:
+    """struct(plain, odd): joined texts normalised if all are simple, else as they are in odd, for a Python function."""
+    simple = joined.rlike(STABLE.replace("[", f"[{_SEAM}"))
+    plain = F.replace(F.lower(joined), F.lit("ß"), F.lit("ss")) if fold else joined
+    return F.struct(F.when(simple, F.regexp_replace(plain, r"[\t\n\x0B\f\r\x1C-\x20]+", " ")).alias("plain"), F.when(~simple, joined).alias("odd"))
+
+
+def fold_odd(odd: Column, fold: bool = False) -> Column:
+    return (_nfkc_fold if fold else _nfkc)(odd)
+
+
+def part_items(joined: Column) -> Column:
+    """The texts of join_items, trimmed."""
+    parts = F.split(joined, _SEAM)
+    return F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.btrim(x))
+
+
 def normalize_items(items: Column | str, fold: bool = False) -> Column:
     """normalize_text of each entry of an array of texts; null entries go, a null array stays null.
 
-    Arrays of simple texts stay in the JVM; others are joined, normalised in one call and split again.
+    The entries are normalised as one string, in the JVM if all are simple, else in one Python call, and parted again.
     """
-    items = F.filter(_col(items), lambda x: x.isNotNull())
-    simple = F.forall(items, lambda x: x.rlike(STABLE))
-    plain = lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss")) if fold else x
-    fast = F.transform(items, lambda x: F.btrim(F.regexp_replace(plain(x), r"[\t\n\x0B\f\r\x1C-\x20]+", " ")))
-    joined = F.when(~simple, F.array_join(items, _SEAM))
-    return F.when(simple, fast).otherwise(F.transform(F.split((_nfkc_fold if fold else _nfkc)(joined), _SEAM), lambda x: F.btrim(x)))
+    read = once(join_items(_col(items)), lambda j: fold_joined(j, fold))
+    return part_items(F.coalesce(read["plain"], fold_odd(read["odd"], fold)))
 
 
 def canonical_json(**fields: Column | str) -> Column:

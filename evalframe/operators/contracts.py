@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..functions.text import contains_literal, normalize_items, normalize_text, unsafe_controls
+from ..functions.text import contains_literal, fold_joined, fold_odd, join_items, normalize_items, normalize_text, once, part_items, unsafe_controls
 from .dataset import conflicts, duplicates, full_diff, prefix_digest
 
 #: Fixed values of the ticket contract: closed vocabularies in declaration order.
@@ -62,12 +62,12 @@ class Contract:
     def fields(self) -> list[str]:
         return [*self.vocabulary, *filter(None, (self.evidence, self.score))]
 
-    def rules(self, get) -> dict[str, Column]:
-        """Rules over typed columns; get(name) gives one."""
+    def rules(self, get, same: Column | None = None) -> dict[str, Column]:
+        """Rules over typed columns; get(name) gives one. same: the evidence, normalised and case-folded, if it is at hand."""
         out = {name: get(name).isin(labels) for name, labels in self.vocabulary.items()}
         if self.evidence:
             items = get(self.evidence)
-            same = normalize_items(items, fold=True)
+            same = normalize_items(items, fold=True) if same is None else same
             out[self.evidence] = F.size(items).between(1, self.max_evidence) & F.forall(items, lambda x: length_between(x, *LENGTHS["evidence"])) & (F.size(F.array_distinct(same)) == F.size(items))
         if self.score:
             s = get(self.score)
@@ -85,26 +85,41 @@ def strict_json(raw: Column | str) -> Column:
     of the text, must still be there.
     """
     raw = F.col(raw) if isinstance(raw, str) else raw
-    digest = F.sha2(raw, 256)
-    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit(',"'), digest, F.lit('":1}')))
-    keys = F.map_keys(wrapped.cast("map<string,variant>"))
-    value = F.try_variant_get(wrapped, "$.v", "variant")
-    good = F.coalesce(F.array_contains(keys, digest) & (F.size(keys) == 2), F.lit(False)) & F.schema_of_variant(value).startswith("OBJECT")
-    return F.when(good, value)
+
+    def value(x: Column) -> Column:
+        keys, v = F.map_keys(x["wrapped"].cast("map<string,variant>")), F.try_variant_get(x["wrapped"], "$.v", "variant")
+        good = F.coalesce(F.array_contains(keys, x["digest"]) & (F.size(keys) == 2), F.lit(False)) & F.schema_of_variant(v).startswith("OBJECT")
+        return F.when(good, v)
+
+    wrap = lambda x: F.struct(x["digest"], F.try_parse_json(F.concat(F.lit('{"v":'), x["raw"], F.lit(',"'), x["digest"], F.lit('":1}'))).alias("wrapped"))
+    return once(once(F.struct(raw.alias("raw"), F.sha2(raw, 256).alias("digest")), wrap), value)
 
 
 def check_raw_prediction(raw: Column | str, contract: Contract) -> Column:
     """Broken rules of raw model output: not_json_object, keys (missing or unknown), then the contract's own."""
-    v = strict_json(raw)
-    keys = F.map_keys(v.cast("map<string,variant>"))
-    kinds = {contract.score: "double"} if contract.score else {}
-    get = lambda n: F.try_variant_get(v, f"$.{n}", "array<string>" if n == contract.evidence else kinds.get(n, "string"))
-    rules = contract.rules(get)
-    if contract.score:
-        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{contract.score}", "variant"))
-        rules[contract.score] = rules[contract.score] & kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*|FLOAT)$")  # a string or boolean is not coerced
-    same = F.array_sort(keys) == F.array(*map(F.lit, sorted(contract.fields)))
-    return F.when(v.isNull(), F.array(F.lit("not_json_object"))).otherwise(F.concat(broken(keys=same), broken(**rules)))
+    kinds = {n: "array<string>" if n == contract.evidence else "double" if n == contract.score else "string" for n in contract.fields}
+
+    def parts(v: Column) -> Column:
+        """All that the rules read of a prediction, typed; null for what is no object."""
+        typed = [F.try_variant_get(v, f"$.{n}", kind).alias(f"f{place}") for place, (n, kind) in enumerate(kinds.items())]
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{contract.score}", "variant")) if contract.score else F.lit(None).cast("string")
+        entries = join_items(F.try_variant_get(v, f"$.{contract.evidence}", "array<string>")) if contract.evidence else F.lit(None).cast("string")
+        return F.when(v.isNotNull(), F.struct(F.array_sort(F.map_keys(v.cast("map<string,variant>"))).alias("keys"), kind.alias("kind"), entries.alias("entries"), *typed))
+
+    # Chained, not nested: the Python function's argument holds no lambda within a lambda.
+    read = once(once(strict_json(raw), parts), lambda v: F.struct(v.alias("v"), fold_joined(v["entries"], fold=True).alias("same")))
+    place = list(kinds).index
+
+    def verdict(x: Column) -> Column:
+        v = x["read"]["v"]
+        rules = contract.rules(lambda n: v[f"f{place(n)}"], part_items(F.coalesce(x["read"]["same"]["plain"], x["odd"])))
+        if contract.score:
+            rules[contract.score] = rules[contract.score] & v["kind"].rlike("^(BIGINT|DOUBLE|DECIMAL.*|FLOAT)$")  # a string or boolean is not coerced
+        keys = v["keys"] == F.array(*map(F.lit, sorted(contract.fields)))
+        return F.when(v.isNull(), F.array(F.lit("not_json_object"))).otherwise(F.concat(broken(keys=keys), broken(**rules)))
+
+    odd = fold_odd(read["same"]["odd"], fold=True) if contract.evidence else F.lit(None).cast("string")
+    return once(F.struct(read.alias("read"), odd.alias("odd")), verdict)
 
 
 def _fits(gold, given) -> bool:

@@ -29,6 +29,17 @@ def test_prediction_contract(spark):
     assert "keys" in got[4] and got[5] == ["not_json_object"] and got[6] == ["evidence"]
 
 
+def test_raw_prediction_parsed_once(spark):
+    """A prediction is parsed where it is read and for the Python function, not once for each rule; odd evidence keeps its verdicts."""
+    head = '{"issue_type":"MFA_FAILURE","severity":"P2","routing_team":"SERVICE_DESK","affected_scope":"UNKNOWN","recommended_action":"COLLECT_MORE_INFORMATION","confidence":1,"evidence":'
+    want = {'["a","b"]': True, '["ＡＢ","ab"]': False, '["\\uff21B","ac"]': True, '[null,"a"]': False, '[null]': False, '[""]': False, "[]": False, "null": False, '["a"," A\\t"]': False, '["e\u0301","é"]': False, '["straße","STRASSE"]': False, '["a b","a  c"]': True}
+    df = spark.createDataFrame([(head + e + "}", ok) for e, ok in want.items()], "j string, ok boolean").select("j", "ok", contracts.check_raw_prediction("j", contracts.Contract()).alias("b"))
+    assert [(r.j, r.b) for r in df.collect()] == [(head + e + "}", [] if ok else ["evidence"]) for e, ok in want.items()]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sha2(") <= 4
+    items = spark.createDataFrame([([],), ([None],), ([""],), (["", "A"],), (None,), (["ＡＢ", None, " x  ß "],), ([" x  ß "],)], "i array<string>")
+    assert [r[0] for r in items.select(text.normalize_items("i", fold=True)).collect()] == [[], [], [""], ["", "a"], None, ["ab", "x ss"], ["x ss"]]
+
+
 def test_denominators(spark):
     df = spark.createDataFrame([("exact", "A", "A", False, False), ("wrong", "A", "B", False, False), ("invalid", "A", None, False, True), ("failed", "A", None, True, False)], "id string, expected_issue string, predicted_issue string, e boolean, i boolean")
     items = scoring.score_items(df, ["issue"], F.col("e"), F.col("i"))
