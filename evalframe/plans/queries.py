@@ -108,9 +108,15 @@ def fingerprint_prefix_digest(spark, sf_dir):
     return dataset.prefix_digest(keyed(spark, sf_dir), "fp", by=["split"])
 
 
-@query(f"""WITH {KEYED}, s AS (SELECT *, {derived.SPLIT.format(k='doc_id')} AS split FROM k), d AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY fp ORDER BY doc_id) AS p FROM s),
-x AS (SELECT fp FROM s GROUP BY fp HAVING count(DISTINCT split) > 1)
-SELECT 'duplicate_input' AS "check", 3 AS check_ordinal, count(p) AS n FROM d UNION ALL SELECT 'cross_split_leakage', 4, count(*) FROM x""")
+KEYED_NULLS = KEYED.replace("to_json(norm)::VARCHAR", "coalesce(to_json(norm)::VARCHAR, 'null')").replace("to_json(lang)::VARCHAR", "coalesce(to_json(lang)::VARCHAR, 'null')")
+
+
+@query(f"""WITH {KEYED_NULLS}, s AS (SELECT k.doc_id, fp, {derived.SPLIT.format(k='k.doc_id')} AS split, CASE WHEN l.doc_id IS NOT NULL THEN (quality, toxic) END AS label FROM k LEFT JOIN labels l ON k.doc_id = l.doc_id),
+d AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY fp ORDER BY doc_id NULLS FIRST) AS p FROM s),
+v AS (SELECT 'split_missing' AS "check", 0 AS check_ordinal FROM (VALUES ('train'), ('validation'), ('test'), ('adversarial')) AS w(split) WHERE split NOT IN (SELECT split FROM s)
+UNION ALL SELECT 'conflicting_labels', 1 FROM (SELECT fp FROM s GROUP BY fp HAVING count(DISTINCT label) > 1) UNION ALL SELECT 'duplicate_id', 2 FROM (SELECT doc_id FROM s GROUP BY doc_id HAVING count(*) > 1)
+UNION ALL SELECT 'duplicate_input', 3 FROM d WHERE p IS NOT NULL UNION ALL SELECT 'cross_split_leakage', 4 FROM (SELECT fp FROM s GROUP BY fp HAVING count(DISTINCT split) > 1))
+SELECT "check", check_ordinal, count(*) AS n FROM v GROUP BY ALL""")
 def dataset_violations(spark, sf_dir):
     found = dataset.validate_dataset(labelled(spark, sf_dir), "doc_id", "fp", "label", "split", ["train", "validation", "test", "adversarial"])
     return found.groupBy("check", "check_ordinal").agg(F.count(F.lit(1)).alias("n"))

@@ -214,6 +214,26 @@ def test_label_conflicts(spark, tmp_path):
     assert found == {"conflicting_labels": 2, "duplicate_input": 4}
 
 
+def test_dataset_violations_sql(spark, tmp_path):
+    """The SQL states all five checks, as the query does, and names none that finds nothing."""
+    duckdb = pytest.importorskip("duckdb")
+    labels = [(0, 1, 0), (9, 0, 0), (18, 1, None), (27, 1, None), (36, None, None), (45, 1, 1)]
+    cases = {
+        "bad": ([(0, "same"), (9, " Same"), (18, "x"), (27, "x"), (36, "y"), (45, "y"), (54, "y"), (63, None), (72, None), (5, "x"), (5, "z")], {0: 2, 1: 2, 2: 1, 3: 6, 4: 1}),
+        "good": ([(0, "a"), (5, "b"), (6, "c"), (8, "d")], {}),
+    }
+    for name, (docs, want) in cases.items():
+        top = tmp_path / name
+        spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(top / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
+        con = duckdb.connect()
+        for t in ("documents", "labels"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{top}/{t}.parquet/*.parquet')")
+        got = queries.QUERIES["dataset_violations"](spark, str(top)).select("check", "check_ordinal", "n").collect()
+        assert {r.check_ordinal: r.n for r in got} == want
+        assert sorted(map(tuple, got)) == sorted(con.sql(queries.ORACLE_SQL["dataset_violations"]).fetchall())
+
+
 def test_percentiles_by_ranges(spark, monkeypatch):
     """No task sorts more than a range, and ranges change no result."""
     rows = [(None if k % 3 == 0 else f"g{k % 3}", float(k * 7919 % 1009), float(k % 5)) for k in range(900)]
