@@ -3,42 +3,57 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.text import once
 from .dataset import prefix_digest
 
 
+NOT_ASCII = re.compile(r"[^\x00-\x7F]")
+ASCII = r"^\p{ASCII}*$"
+
+
 @F.pandas_udf(StringType())
 def _bare(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    return text.map(lambda t: None if t is None else NOT_ASCII.sub(lambda m: "" if unicodedata.combining(m[0]) else m[0], unicodedata.normalize("NFKD", t)))
 
 
 def strip_accents(text: Column) -> Column:
     """NFKD without combining characters; texts of ASCII alone stay in the JVM."""
-    plain = text.rlike(r"^\p{ASCII}*$")
+    plain = text.rlike(ASCII)
     return F.when(plain, text).otherwise(_bare(F.when(~plain, text)))
 
 
-def grams(text: Column) -> Column:
-    """Lower-cased words of two characters and more, without accents, and neighbouring pairs."""
-    found = F.regexp_extract_all(strip_accents(F.lower(F.coalesce(text, F.lit("")))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+def words(text: Column) -> Column:
+    """Lower-cased words of two characters and more, without accents. Unicode's word classes cost several times ASCII's."""
+    found = lambda t, flags: F.regexp_extract_all(t, F.lit(rf"{flags}\b\w\w+\b"), F.lit(0))
+    return once(strip_accents(F.lower(F.coalesce(text, F.lit("")))), lambda t: F.when(t.rlike(ASCII), found(t, "")).otherwise(found(t, "(?U)")))
+
+
+def with_pairs(found: Column) -> Column:
+    """Words, and after them neighbouring pairs. found is named several times: a column, not an expression."""
     fewer = F.greatest(F.size(found) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(found, 1, fewer), F.slice(found, 2, fewer), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(found, pairs)
+    return F.concat(found, F.zip_with(F.slice(found, 1, fewer), F.slice(found, 2, fewer), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
-#: Rows of the fit that one task goes through in each iteration.
-ROWS_A_TASK = 4_000
+def grams(text: Column) -> Column:
+    """Words and neighbouring pairs of a text."""
+    return once(words(text), with_pairs)
+
+
+#: Rows of the fit that one task goes through in each iteration; with few rows each core has a task.
+ROWS_A_TASK, FEW = 20_000, 1_000
 
 
 class TextBaseline:
@@ -60,30 +75,32 @@ class TextBaseline:
     @classmethod
     def fit(cls, df: DataFrame, text: str, label: str, vocabulary: int = 20_000, max_iter: int = 1_000) -> TextBaseline:
         """Needs two labels at least. identity: prefix_digest of the texts' digests with their labels."""
-        rows = df.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), grams(F.col(text)).alias("grams")).where("label IS NOT NULL").persist()
+        rows = df.select(F.sha2(text, 256).alias("text"), F.col(label).cast("string").alias("label"), words(F.col(text)).alias("words")).where("label IS NOT NULL").persist()
         sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a closed vocabulary
         if len(sizes) < 2:
             raise ValueError("two labels at least are needed")
         labels, n = sorted(sizes), sum(sizes.values())
-        counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=vocabulary).fit(rows)
-        seen = rows.select(F.explode(F.array_distinct("grams")).alias("g")).join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in counts.vocabulary], "g string")), "g").groupBy("g").count()
-        df_of = {r["g"]: r["count"] for r in seen.collect()}  # at most the vocabulary's size
-        idf = [math.log((1 + n) / (1 + df_of.get(w, 0))) + 1 for w in counts.vocabulary]
+        listed = rows.select("label", with_pairs(F.col("words")).alias("grams"))
+        common = listed.select(F.explode("grams").alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(vocabulary)  # ties by the gram
+        counts = CountVectorizerModel.from_vocabulary([r["g"] for r in common.collect()], inputCol="grams", outputCol="tf")
+        identity = prefix_digest(rows.select(F.sha2(F.concat_ws("\n", "text", "label"), 256).alias("k")), "k").first()["digest"]
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        tasks = max(-(-n // ROWS_A_TASK), min(-(-n // FEW), cores))  # each of the many iterations is a job: no task should be tiny
+        tf = counts.transform(listed).select("label", "tf").repartition(tasks).persist()
+        idf = [math.log((1 + n) / (1 + d)) + 1 for d in IDF(inputCol="tf").fit(tf).docFreq]
+        rows.unpersist()
         table = F.create_map(*(F.lit(x) for k in labels for x in (k, float(labels.index(k)))))
         weight = F.create_map(*(F.lit(x) for k in labels for x in (k, n / (len(labels) * sizes[k]))))
-        ready = cls._weigh(counts.transform(rows), idf).select("features", F.element_at(table, F.col("label")).alias("y"), F.element_at(weight, F.col("label")).alias("c"))
-        ready = ready.repartition(-(-n // ROWS_A_TASK)).persist()  # each of the many iterations is a job: no task should be tiny
-        model = LogisticRegression(labelCol="y", weightCol="c", maxIter=max_iter, regParam=1.0 / n, standardization=False).fit(ready)
-        identity = prefix_digest(rows.select(F.sha2(F.concat_ws("\n", F.sha2("text", 256), "label"), 256).alias("k")), "k").first()["digest"]
-        rows.unpersist()
-        ready.unpersist()
+        ready = cls._weigh(tf, idf).select("features", F.element_at(table, F.col("label")).alias("y"), F.element_at(weight, F.col("label")).alias("c"))
+        model = LogisticRegression(labelCol="y", weightCol="c", maxIter=max_iter, regParam=1.0 / n, standardization=False).fit(ready)  # caches its own blocks
+        tf.unpersist()
         return cls(counts, idf, model, labels, identity)
 
     def predict(self, df: DataFrame, text: str) -> DataFrame:
         """df plus predicted_label and predicted_confidence."""
-        out = self.model.transform(self._weigh(self.counts.transform(df.withColumn("grams", grams(F.col(text)))), self.idf))
+        out = self.model.transform(self._weigh(self.counts.transform(df.withColumn("words", words(F.col(text))).withColumn("grams", with_pairs(F.col("words")))), self.idf))
         named = F.element_at(F.array(*map(F.lit, self.labels)), (F.col("prediction") + 1).cast("int"))
-        return out.withColumns({"predicted_label": named, "predicted_confidence": F.array_max(vector_to_array("probability"))}).drop("grams", "features", "rawPrediction", "probability", "prediction")
+        return out.withColumns({"predicted_label": named, "predicted_confidence": F.array_max(vector_to_array("probability"))}).drop("words", "grams", "features", "rawPrediction", "probability", "prediction")
 
     def save(self, path: str) -> None:
         self.counts.write().save(f"{path}/counts")

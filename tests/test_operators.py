@@ -1,5 +1,7 @@
 """Hand-computed numbers on small tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +281,21 @@ def test_baseline(spark, tmp_path):
     assert got == ["elan", "vital", "elan", "uni", "elan vital", "vital elan", "elan uni"]
     model = baseline.TextBaseline.fit(spark.read.parquet(str(tmp_path / "documents.parquet")).join(spark.read.parquet(str(tmp_path / "labels.parquet")), "doc_id"), "text", "toxic", max_iter=2)
     assert len(model.counts.vocabulary) > 2000
+
+
+def test_baseline_storage(spark, monkeypatch):
+    """Texts are gone from storage when the iterations begin, a tie at the vocabulary's end goes by the gram, and each core has rows."""
+    from pyspark.ml.classification import LogisticRegression
+
+    stored, parts = [], []
+    fit = LogisticRegression.fit
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = kept()
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df: (stored.append(kept() - before), parts.append(df.rdd.getNumPartitions()), fit(self, df))[-1])
+    rows = [(f"{'bad' if n % 2 else 'good'} zz{n % 7} ÉÉ", str(n % 2)) for n in range(2100)]
+    model = baseline.TextBaseline.fit(spark.createDataFrame(rows, "t string, y string"), "t", "y", vocabulary=5, max_iter=3)
+    assert stored == [1] and parts == [3]
+    assert model.counts.vocabulary == ["ee", "bad", "good", "zz0", "zz0 ee"]
+    want = {"ee": 1.0} | {w: math.log(2101 / 1051) + 1 for w in ("bad", "good")}
+    assert {w: i for w, i in zip(model.counts.vocabulary, model.idf) if w in want} == pytest.approx(want)
+    assert kept() == before
